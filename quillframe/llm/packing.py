@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import batch_of, id_and_text, slices
-from .word_bpe import WordBpe
+from .word_bpe import SLICE, WordBpe
 
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -83,8 +83,8 @@ def _packer(path: str, end_id: int, capacity: int, quadratic: float, block_token
         ids: list[int] = []
         coded: list[bytes] = []
         held = 0
-        for part in slices(batches):
-            for i, c in zip(part.column("id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
+        for part in slices(batches, most=SLICE):
+            for i, c in zip(part.column("id").to_pylist(), coder.encode(part.column("text")), strict=True):
                 ids.append(i)
                 coded.append(c + end)
                 held += len(c) // 4 + 1

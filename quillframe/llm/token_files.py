@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch_of, id_and_text, slices
-from .word_bpe import WordBpe
+from .word_bpe import SLICE, WordBpe
 
 # Fixed values of the zstandard seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -143,14 +143,14 @@ def _writer(path: str, end_id: int, out_dir: str, frame_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, coder, name, docs, tokens, first = TaskContext.get(), WordBpe.of(path), None, 0, 0, None
         files, base = opened(out_dir)
-        for part in slices(batches):
+        for part in slices(batches, most=SLICE):
             if name is None:
                 files.create_dir(base, recursive=True)
                 name = f"ids-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
                 out = files.open_output_stream(f"{base}/{name}", compression=None)
                 shard = ShardWriter(out, frame_bytes)
                 first = part.column("id")[0].as_py()
-            for i, c in zip(part.column("id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
+            for i, c in zip(part.column("id").to_pylist(), coder.encode(part.column("text")), strict=True):
                 shard.add(i, c + end)
                 docs, tokens = docs + 1, tokens + len(c) // 4 + 1
         if name is not None:

@@ -1,14 +1,26 @@
 """Token ids of whole texts by a tokenizers file whose pre-tokens never cross white space.
 
 The text is cut at ASCII white space, which such a tokenizer drops, and each distinct piece is
-encoded once per worker; the ids of a text are the joined ids of its pieces.
+encoded once per worker; the ids of a text are the joined ids of its pieces. A piece of ASCII
+characters is lower-cased and cut into pre-tokens here, as the file's own steps would, and each
+distinct pre-token is encoded once; any other piece goes to the tokenizer as it is.
 """
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+from struct import pack
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+# Fixed value: what the file's pre-tokenizer matches in lower-case ASCII.
+ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+#: Bytes of text that are encoded at once.
+SLICE = 8 << 20
 
 _CODERS: dict[str, WordBpe] = {}
 
@@ -19,11 +31,18 @@ class WordBpe:
     ``most`` pieces are remembered; beyond that the memory starts anew, which changes no result.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.pre: dict[str, bytes] = {}
+        self.flat, self.used = np.empty(1 << 16, "<u4"), 0
+        self.begin, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     @classmethod
     def of(cls, path: str) -> WordBpe:
@@ -32,17 +51,78 @@ class WordBpe:
             _CODERS[path] = cls(path)
         return _CODERS[path]
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        pieces = [(t or b"").split() for t in texts]
+    def _coded(self, words: list[str]) -> list[bytes]:
+        found: list[bytes] = []
+        for k in range(0, len(words), 20_000):
+            found += [pack(f"<{len(c.ids)}I", *c.ids) for c in self.tokenizer.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
+        return found
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        words = [p.decode("utf-8", "replace") for p in pieces]
+        ids: list[bytes | None] = [None] * len(words)
+        whole = [k for k, w in enumerate(words) if not w.isascii() or "<|" in w]
+        for k, coded in zip(whole, self._coded([words[k] for k in whole]), strict=True):
+            ids[k] = coded
+        rest = [k for k, found in enumerate(ids) if found is None]
+        lowered = [words[k].lower() for k in rest]
+        plain = {w for w in lowered if w.isalpha()}
+        several = {k: ASCII_PRE_TOKEN.findall(w) for k, w in zip(rest, lowered, strict=True) if w not in plain}
+        pre = self.pre
+        new = [w for w in plain.union(*several.values()) if w not in pre]
+        pre.update(zip(new, self._coded(new), strict=True))
+        for k, w in zip(rest, lowered, strict=True):
+            ids[k] = pre[w] if w in plain else b"".join(map(pre.__getitem__, several[k]))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n, total = len(self.known), int(sizes.sum())
+        if n + len(ids) > len(self.begin):
+            self.begin, self.size = (np.concatenate([a[:n], np.empty(n + 2 * len(ids), np.int64)]) for a in (self.begin, self.size))
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + 2 * total, "<u4")])
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(ids), "<u4")
+        self.begin[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(ids)] = sizes
+        self.used += total
+        self.known.update(zip(pieces, range(n, n + len(ids)), strict=True))
+
+    def encode(self, texts: pa.Array | list[bytes | None]) -> list[bytes]:
+        """The ids of each text, which is UTF-8 in binary values."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary())
+        found: list[bytes] = []
+        begin, held = 0, 0
+        for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+            if held and held + n > SLICE:
+                found += self._slice(texts.slice(begin, i - begin))
+                begin, held = i, 0
+            held += n
+        return found + self._slice(texts.slice(begin))
+
+    def _slice(self, texts: pa.Array) -> list[bytes]:
+        words = pc.ascii_split_whitespace(_as_text(texts.fill_null(b"")))
+        bounds = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.known) > self.most:
-            self.known.clear()
-        known, need = self.known, set()
-        for p in pieces:
-            need.update(p)
-        need = list(need.difference(known))
-        for k in range(0, len(need), 20_000):
-            part = need[k : k + 20_000]
-            coded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            known.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(part, coded, strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+            self._forget()
+        known = self.known
+        if missing := [w for w in distinct if w not in known]:
+            gc.disable()  # many small lists live for a moment, none in a cycle
+            self._learn(missing)
+            gc.enable()
+        entry = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        at = entry[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.repeat(self.begin[at] - ends[:-1], sizes)
+        place += np.arange(len(place))
+        data = self.flat[place].tobytes()
+        cuts = (4 * ends[bounds - bounds[0]]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _as_text(values: pa.Array) -> pa.Array:
+    """Binary values seen as text; bytes that are no UTF-8 become replacement characters."""
+    try:
+        return values.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([v.decode("utf-8", "replace") for v in values.to_pylist()], pa.string())
