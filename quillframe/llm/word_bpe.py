@@ -28,19 +28,20 @@ _CODERS: dict[str, WordBpe] = {}
 class WordBpe:
     """encode() gives the ids of each text as little-endian unsigned 32-bit integers. Null counts as empty.
 
-    ``most`` pieces are remembered; beyond that the memory starts anew, which changes no result.
+    About ``most`` pieces and as many pre-tokens are remembered; beyond that either memory starts anew,
+    which changes no result.
     """
 
-    def __init__(self, path: str, most: int = 1_300_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.pre: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pre: dict[str, bytes] = {}
         self.flat, self.used = np.empty(1 << 16, "<u4"), 0
         self.begin, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
@@ -68,6 +69,8 @@ class WordBpe:
         plain = {w for w in lowered if w.isalpha()}
         several = {k: ASCII_PRE_TOKEN.findall(w) for k, w in zip(rest, lowered, strict=True) if w not in plain}
         pre = self.pre
+        if len(pre) > self.most:
+            pre.clear()
         new = [w for w in plain.union(*several.values()) if w not in pre]
         pre.update(zip(new, self._coded(new), strict=True))
         for k, w in zip(rest, lowered, strict=True):
