@@ -102,12 +102,12 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return step.drop("_words", "_lines", "_place_bits", "_keys", "_at")
 
 
-def order(measured: DataFrame, candidates: Sequence[Rule], id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def order(docs: DataFrame, candidates: Sequence[Rule], id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by falling rejection per cost, as estimated on about sample_rows rows that a hash of the id picks. One row comes to the driver."""
-    rows = measured.select(id_col).count()
+    rows = docs.select(id_col).count()
     if not rows or len(candidates) < 2:
         return list(candidates)
-    part = measured.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < max(1, (1 << 20) * sample_rows // rows)).where(~base_rule())
+    part = measures(docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < max(1, (1 << 20) * sample_rows // rows))).where(~base_rule())
     cost = [F.sum(F.lit(r.weight) * (F.lit(1.0) if r.unit == "one" else F.col(r.unit))).alias(f"cost_{k}") for k, r in enumerate(candidates)]
     cut = [F.sum(r.rejects.cast("long")).alias(f"cut_{k}") for k, r in enumerate(candidates)]
     got = part.agg(*cost, *cut).first()
@@ -121,7 +121,7 @@ def judge(docs: DataFrame, candidates: Sequence[Rule] | None = None, id_col: str
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars")
     plain = docs.withColumn("text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).drop(*[c for c in made if c not in (id_col, text_col)])
     measured = measures(plain)
-    cascade = order(measured, rules() if candidates is None else candidates, id_col, sample_rows)
+    cascade = order(plain, rules() if candidates is None else candidates, id_col, sample_rows)
     first = F.when(base_rule(), F.lit("base"))
     for rule in cascade:
         first = first.when(rule.rejects, F.lit(rule.name))
