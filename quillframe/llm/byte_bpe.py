@@ -8,8 +8,8 @@ bucket encodes each distinct word of all chunks once and sends the ids back; a c
 then has ids, which replace the positions. Decoding looks each id up in the token-byte table.
 
 The chunks are written to the shared folder before they are used twice, so both uses see the same
-dictionary, whatever is recomputed. Words of one bucket must fit a task; ``buckets`` grows with the
-input's bytes, so that one holds about ``BUCKET_BYTES`` of distinct words at most.
+dictionary, whatever is recomputed. A bucket's task remembers at most ``most`` words at once, so
+that no bucket outgrows it. Numbers travel compressed.
 
 Null counts as empty: no ids, and the SHA-256 of nothing. Repeated rows give repeated rows, an empty
 table an empty result. Other columns are not read.
@@ -26,14 +26,14 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, folder_bytes, id_and_text, new_path, slices
+from .common import batch_of, cut, id_and_text, slices
 
-CHUNK_BYTES = 24 << 20
-BUCKET_BYTES = 16 << 20
+CHUNK_BYTES = 48 << 20
 CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("words", pa.list_(pa.binary())), ("numbers", pa.list_(pa.binary()))])
 CHUNKS_DDL = "chunk long, doc_ids binary, nulls binary, counts binary, places binary, words array<binary>, numbers array<binary>"
 CODED = pa.schema([("chunk", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
@@ -56,12 +56,24 @@ def coder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
+
+
 def _packed(words: list[bytes]) -> bytes:
-    """Lengths (32 bits each) and bytes of words, after their number."""
-    return np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words)
+    """Lengths (32 bits each) and bytes of words, after their number; compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words))
 
 
 def _unpacked(data: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(data, "<u4", 1)[0])
     ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
     begins = [4 + 4 * n, *ends[:-1].tolist()]
@@ -80,9 +92,9 @@ def _chunker(pattern: str, buckets: int, chunk_bytes: int):
             order = np.argsort(bucket, kind="stable")
             parts = np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
             packed = [_packed([words[k] for k in p]) for p in parts]
-            numbers = [p.astype("<u4").tobytes() for p in parts]
+            numbers = [_squeezed(p) for p in parts]
             nulls = np.array([i is None for i in ids], np.uint8).tobytes()
-            row = (next(number), np.array([i or 0 for i in ids], "<i8").tobytes(), nulls, np.array(counts, "<u4").tobytes(), np.concatenate([*places, np.empty(0, "<u4")]).astype("<u4").tobytes(), packed, numbers)
+            row = (next(number), np.array([i or 0 for i in ids], "<i8").tobytes(), nulls, _squeezed(np.array(counts)), _squeezed(np.concatenate([*places, np.empty(0, "<u4")])), packed, numbers)
             return batch_of(CHUNKS, *([x] for x in row))
 
         def fresh():
@@ -121,16 +133,16 @@ def _encoder(path: str, pattern: str, most: int):
                     if got is None:
                         known[w] = got = np.array(encode(w), "<u4").tobytes()
                     ids.append(got)
-                yield batch_of(CODED, [batch.column("chunk")[k].as_py()], [batch.column("numbers")[k].as_py()], [np.fromiter(map(len, ids), "<u4", len(ids)).tobytes()], [b"".join(ids)])
+                yield batch_of(CODED, [batch.column("chunk")[k].as_py()], [batch.column("numbers")[k].as_py()], [_squeezed(np.fromiter(map(len, ids), "<u4", len(ids)))], [_squeezed(np.frombuffer(b"".join(ids), "<u4"))])
 
     return run
 
 
 def _joiner():
     def dictionary(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        numbers = np.concatenate([np.frombuffer(p[0], "<u4") for p in parts]).astype(np.int64)
-        sizes = np.concatenate([np.frombuffer(p[1], "<u4") for p in parts]).astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(p[2] for p in parts), "<u4")
+        numbers = np.concatenate([_numbers(p[0]) for p in parts]).astype(np.int64)
+        sizes = np.concatenate([_numbers(p[1]) for p in parts]).astype(np.int64) // 4
+        flat = np.concatenate([_numbers(p[2]) for p in parts])
         size, begin = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         size[numbers], begin[numbers] = sizes, np.cumsum(sizes) - sizes
         return flat, size, begin
@@ -140,7 +152,7 @@ def _joiner():
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in ("doc_ids", "nulls", "counts", "places", "parts")}
                 flat, size, begin = dictionary([(p["numbers"], p["sizes"], p["ids"]) for p in row["parts"]])
-                places, counts = np.frombuffer(row["places"], "<u4"), np.frombuffer(row["counts"], "<u4")
+                places, counts = _numbers(row["places"]), _numbers(row["counts"])
                 doc_ids, nulls = np.frombuffer(row["doc_ids"], "<i8").tolist(), np.frombuffer(row["nulls"], np.uint8).tolist()
                 ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 step = 256
@@ -206,10 +218,3 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and decoded (bytes) of rows with doc_id and ids, by the token-byte table, whose size the vocabulary bounds."""
     return encoded.select("doc_id", "ids").mapInArrow(_decoder(path), "doc_id long, decoded binary")
 
-
-def bytes_of(df: DataFrame) -> int:
-    """Bytes that a written copy of df takes; for choosing ``buckets``."""
-    spark = df.sparkSession
-    path = new_path(spark, "size")
-    df.write.parquet(path)
-    return folder_bytes(spark, path)
