@@ -36,8 +36,8 @@ from .common import batch_of, cut, id_and_text, slices
 CHUNK_BYTES = 48 << 20
 CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("words", pa.list_(pa.binary())), ("numbers", pa.list_(pa.binary()))])
 CHUNKS_DDL = "chunk long, doc_ids binary, nulls binary, counts binary, places binary, words array<binary>, numbers array<binary>"
-CODED = pa.schema([("chunk", pa.int64()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
-CODED_DDL = "chunk long, numbers binary, sizes binary, ids binary"
+CODED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
+CODED_DDL = "chunk long, bucket int, sizes binary, ids binary"
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 ENCODED_DDL = "doc_id long, n_tokens long, ids binary"
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -59,7 +59,7 @@ def coder(path: str, pattern: str):
 def _squeezed(numbers: np.ndarray) -> bytes:
     """Numbers of 32 bits, compressed byte plane by byte plane."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(planes.tobytes())
 
 
 def _numbers(data: bytes) -> np.ndarray:
@@ -87,14 +87,20 @@ def _chunker(pattern: str, buckets: int, chunk_bytes: int):
         find, number = regex.compile(pattern).findall, count(TaskContext.get().partitionId() << 32)
 
         def chunk(ids: list, counts: list[int], places: list[np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
+            # Frequent words get small places, which compress better.
+            places = np.concatenate([*places, np.empty(0, "<u4")]).astype(np.int64)
+            often = np.argsort(-np.bincount(places, minlength=len(seen)), kind="stable")
+            place = np.empty(len(often), np.int64)
+            place[often] = np.arange(len(often))
             words = [w.encode() for w in seen]
+            words = [words[k] for k in often.tolist()]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
             parts = np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
             packed = [_packed([words[k] for k in p]) for p in parts]
-            numbers = [_squeezed(p) for p in parts]
+            numbers = [_squeezed(np.diff(p, prepend=0)) for p in parts]
             nulls = np.array([i is None for i in ids], np.uint8).tobytes()
-            row = (next(number), np.array([i or 0 for i in ids], "<i8").tobytes(), nulls, _squeezed(np.array(counts)), _squeezed(np.concatenate([*places, np.empty(0, "<u4")])), packed, numbers)
+            row = (next(number), np.array([i or 0 for i in ids], "<i8").tobytes(), nulls, _squeezed(np.array(counts)), _squeezed(place[places]), packed, numbers)
             return batch_of(CHUNKS, *([x] for x in row))
 
         def fresh():
@@ -133,25 +139,25 @@ def _encoder(path: str, pattern: str, most: int):
                     if got is None:
                         known[w] = got = np.array(encode(w), "<u4").tobytes()
                     ids.append(got)
-                yield batch_of(CODED, [batch.column("chunk")[k].as_py()], [batch.column("numbers")[k].as_py()], [_squeezed(np.fromiter(map(len, ids), "<u4", len(ids)))], [_squeezed(np.frombuffer(b"".join(ids), "<u4"))])
+                yield batch_of(CODED, [batch.column("chunk")[k].as_py()], [batch.column("bucket")[k].as_py()], [_squeezed(np.fromiter(map(len, ids), "<u4", len(ids)))], [_squeezed(np.frombuffer(b"".join(ids), "<u4"))])
 
     return run
 
 
 def _joiner():
-    def dictionary(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        numbers = np.concatenate([_numbers(p[0]) for p in parts]).astype(np.int64)
+    def dictionary(numbers: list[bytes], parts: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.concatenate([np.cumsum(_numbers(numbers[bucket]), dtype=np.int64) for bucket, _, _ in parts])
         sizes = np.concatenate([_numbers(p[1]) for p in parts]).astype(np.int64) // 4
         flat = np.concatenate([_numbers(p[2]) for p in parts])
-        size, begin = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-        size[numbers], begin[numbers] = sizes, np.cumsum(sizes) - sizes
+        size, begin = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        size[at], begin[at] = sizes, np.cumsum(sizes) - sizes
         return flat, size, begin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("doc_ids", "nulls", "counts", "places", "parts")}
-                flat, size, begin = dictionary([(p["numbers"], p["sizes"], p["ids"]) for p in row["parts"]])
+                row = {c: batch.column(c)[k].as_py() for c in ("doc_ids", "nulls", "counts", "places", "numbers", "parts")}
+                flat, size, begin = dictionary(row["numbers"], [(p["bucket"], p["sizes"], p["ids"]) for p in row["parts"]])
                 places, counts = _numbers(row["places"]), _numbers(row["counts"])
                 doc_ids, nulls = np.frombuffer(row["doc_ids"], "<i8").tolist(), np.frombuffer(row["nulls"], np.uint8).tolist()
                 ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
@@ -177,10 +183,10 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None,
     if buckets is None:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     chunks = cut(id_and_text(docs, id_col, text_col).mapInArrow(_chunker(pattern, buckets, chunk_bytes), CHUNKS_DDL), "bpe-chunks")
-    sent = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "numbers")).alias("bucket", "part")).select("bucket", "chunk", "part.words", "part.numbers")
-    coded = sent.repartition(buckets, "bucket").drop("bucket").mapInArrow(_encoder(path, pattern, most), CODED_DDL)
-    parts = coded.groupBy("chunk").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("parts"))
-    joined = chunks.select("chunk", "doc_ids", "nulls", "counts", "places").join(parts, "chunk").drop("chunk")
+    sent = chunks.select("chunk", F.posexplode("words").alias("bucket", "words"))
+    coded = sent.repartition(buckets, "bucket").mapInArrow(_encoder(path, pattern, most), CODED_DDL)
+    parts = coded.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("parts"))
+    joined = chunks.select("chunk", "doc_ids", "nulls", "counts", "places", "numbers").join(parts, "chunk").drop("chunk")
     return joined.mapInArrow(_joiner(), ENCODED_DDL)
 
 
