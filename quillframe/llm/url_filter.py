@@ -55,8 +55,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     rows = captures.withColumn("_host", host_of(F.col(url_col).cast("string")))
     found = timelines(rows.where("_host is not null").select(F.col("_host").alias("host")).distinct(), intervals(entries))
     t = F.col(time_col)
-    active = F.filter("timeline", lambda x: (x["valid_from"] <= t) & (x["valid_to"].isNull() | (t < x["valid_to"])))
+    active = F.filter("_timeline", lambda x: (x["valid_from"] <= t) & (x["valid_to"].isNull() | (t < x["valid_to"])))
     best = F.array_min(F.transform(active, lambda x: F.struct((-F.length(x["domain"])).alias("n"), x["category"].alias("category"), x["domain"].alias("domain"))))
-    joined = rows.join(found, rows["_host"] == found["host"], "left").withColumn("_best", best)
+    named = found.select(F.col("host").alias("_listed"), F.col("timeline").alias("_timeline"))
+    joined = rows.join(named, F.col("_host") == F.col("_listed"), "left").withColumn("_best", best)
     out = {"matched_domain": F.col("_best.domain"), "matched_category": F.col("_best.category"), "blocked": F.col("_best").isNotNull()}
     return joined.withColumns(out).select(*[c for c in captures.columns if c not in out], *out)
