@@ -7,10 +7,15 @@ none. All of it is built-in expressions, equi-joins and map-side combined aggreg
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as v
+from ..functions.cells import MAX_ROW
 from ..functions.criteria import criterion_of
 
 
@@ -124,28 +129,30 @@ def wildcard_lookup(left: DataFrame, patterns: dict[str, str], s: str, out: str
 
 
 def as_of_lookup(left: DataFrame, value: str, steps: DataFrame, key: str, result: str, out: str = "found") -> DataFrame:
-    """left with ``out``: result of the largest key not above value, for keys in ascending order; #N/A below the first.
+    """left with ``out`` (text): result of the largest key not above value, for keys in ascending order; #N/A below the first and for NULL.
 
-    Keys become intervals, and both sides meet in one ordered pass: rows are dealt by range of the value, and a
-    range starts with the last step before it, so nothing is compared pairwise. The steps' bounds per range are
-    the range partitioner's, whose number the session sets.
+    The steps are a sheet's range: above a sheet's rows they are refused, and within that they go to every
+    task as a sorted array, in which a batch of values is found by binary search; left is not shuffled.
     """
-    spans = steps.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("double").alias("_from")).agg(F.max(result).alias("_result"))
-    marked = left.withColumn("_at", F.col(value).cast("double"))
-    rows = marked.select(F.struct(*left.columns).alias("_row"), "_at", F.lit(1).alias("_kind"), F.lit(None).cast(spans.schema["_result"].dataType).alias("_result"))
-    both = rows.unionByName(spans.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col("_from").alias("_at"), F.lit(0).alias("_kind"), "_result"))
-    # A block of values of one size class keeps a window bounded; the last step of the blocks before comes by a second, small window.
-    dealt = both.repartitionByRange("_at").sortWithinPartitions("_at", "_kind").withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = dealt.withColumn("_last", F.last("_result", ignorenulls=True).over(within))
-    ends = dealt.where("_kind = 0").groupBy("_part").agg(F.max_by("_result", "_at").alias("_end"))
-    before = Window.orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
-    carried = ends.select((F.col("_part") + 1).alias("_next"), F.col("_end"))
-    parts = dealt.select("_part").distinct().join(carried, F.col("_part") == F.col("_next"), "left").select(F.col("_part").alias("_next"), "_end")
-    carry = parts.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).select(F.col("_next").alias("_part"), "_carry")
-    done = seen.where("_kind = 1").join(F.broadcast(carry), "_part", "left")  # a row per partition
-    shown = F.coalesce(F.col("_last"), F.col("_carry")).cast("string")
-    return done.select("_row.*", F.coalesce(F.when(F.col("_at").isNotNull(), shown), F.lit(v.NA)).alias(out))
+    spark = left.sparkSession
+    if (n := steps.count()) > MAX_ROW:
+        raise ValueError(f"{n} steps are more than a sheet's rows")
+    spans = steps.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("double").alias("at")).agg(F.max(F.col(result).cast("string")).alias("shown")).toArrow()
+    keys = spans.column("at").to_numpy()
+    order = np.argsort(keys)
+    shown = spans.column("shown").to_pylist()
+    sent = spark.sparkContext.broadcast((keys[order], [v.NA, *(shown[i] for i in order)]))
+    names = left.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, shown = sent.value
+        shown = pa.array(shown, pa.string())
+        for batch in batches:
+            at = batch.column("_at").to_numpy(zero_copy_only=False)
+            place = np.where(np.isnan(at), 0, np.searchsorted(keys, at, side="right"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), shown.take(pa.array(place))], [*names, out])
+
+    return left.withColumn("_at", F.col(value).cast("double")).mapInArrow(run, left.select("*", F.lit("").alias(out)).schema)
 
 
 def in_list(left: DataFrame, value: str, table: DataFrame, key: str, anti: bool = False) -> DataFrame:

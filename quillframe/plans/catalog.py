@@ -151,14 +151,14 @@ def date_functions(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS total, greatest(l_quantity, l_tax) AS most, CAST((l_quantity > 10 AND l_tax > 0.01) AS VARCHAR) = 'true' AS both,
+SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS total, greatest(l_quantity, l_tax) AS most, CAST((l_quantity > 10 AND l_tax > 0.01) AS VARCHAR) = 'true' AS both_true,
        CASE WHEN l_discount = 0 THEN '#DIV/0!' ELSE 'ok' END AS ratio
 FROM lineitem
 """)
 def range_functions(spark, sf_dir):
     a = {"A1": num("l_quantity"), "A2": num("l_tax"), "B1": num("l_discount")}
     ratio = _formula('=IF(ISERROR(A1/B1),A1/B1,"ok")', **a)
-    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _n("=SUM(A1:A2)", **a).alias("total"), _n("=MAX(A1:A2)", **a).alias("most"), _formula("=AND(A1>10,A2>0.01)", **a)["b"].alias("both"), v.to_json_text(ratio).alias("ratio"))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _n("=SUM(A1:A2)", **a).alias("total"), _n("=MAX(A1:A2)", **a).alias("most"), _formula("=AND(A1>10,A2>0.01)", **a)["b"].alias("both_true"), v.to_json_text(ratio).alias("ratio"))
 
 
 @query("""
