@@ -160,7 +160,7 @@ m AS (
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_ellipsis > 5 * n_lines OR 10 * n_bullets > 9 * n_lines
+            OR 2 * n_dup_lines > n_lines OR 10 * n_ellipsis > 5 * n_lines OR 10 * n_bullets > 9 * n_lines
             OR 10 * n_letters < 4 * word_chars) AS kept
 FROM b
 """
