@@ -42,25 +42,31 @@ def _middle(x: list[int], a0: int, a1: int, y: list[int], b0: int, b1: int) -> t
     """A point that an optimal path passes, where forward and backward searches meet."""
     n, m = a1 - a0, b1 - b0
     delta = n - m
-    forward, backward = {1: 0}, {1: 0}
+    # Furthest points by diagonal k, at k + z; -1 where none is known yet.
+    z = n + m + 1
+    forward, backward = [-1] * (2 * z + 1), [-1] * (2 * z + 1)
+    forward[z + 1] = backward[z + 1] = 0
+    odd = delta % 2 == 1
     for d in range((n + m + 1) // 2 + 1):
         for k in range(-d, d + 1, 2):
-            i = forward[k + 1] if k == -d or (k != d and forward.get(k - 1, -1) < forward.get(k + 1, -1)) else forward[k - 1] + 1
+            low, high = forward[z + k - 1], forward[z + k + 1]
+            i = high if k == -d or (k != d and low < high) else low + 1
             j = i - k
             while i < n and j < m and x[a0 + i] == y[b0 + j]:
                 i, j = i + 1, j + 1
-            forward[k] = i
+            forward[z + k] = i
             c = delta - k
-            if delta % 2 and -(d - 1) <= c <= d - 1 and i + backward.get(c, -1) >= n and 0 <= j <= m and i <= n:
+            if odd and -d < c < d and i + backward[z + c] >= n and 0 <= j <= m and i <= n:
                 return a0 + i, b0 + j
         for k in range(-d, d + 1, 2):
-            i = backward[k + 1] if k == -d or (k != d and backward.get(k - 1, -1) < backward.get(k + 1, -1)) else backward[k - 1] + 1
+            low, high = backward[z + k - 1], backward[z + k + 1]
+            i = high if k == -d or (k != d and low < high) else low + 1
             j = i - k
             while i < n and j < m and x[a1 - 1 - i] == y[b1 - 1 - j]:
                 i, j = i + 1, j + 1
-            backward[k] = i
+            backward[z + k] = i
             c = delta - k
-            if delta % 2 == 0 and -d <= c <= d and i + forward.get(c, -1) >= n and 0 <= j <= m and i <= n:
+            if not odd and -d <= c <= d and i + forward[z + c] >= n and 0 <= j <= m and i <= n:
                 return a1 - i, b1 - j
     raise AssertionError("the searches meet")
 

@@ -96,6 +96,12 @@ def markdown_html(docs: DataFrame, key: str, text: str) -> DataFrame:
     return per_row(docs, [key], [text], "html string", body)
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows over all partitions: a diff's work is out of proportion to its bytes, by which adaptive execution would merge partitions."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def word_diff(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
     """Counts of deleted and inserted pieces of a shortest edit script over words and separators."""
 
@@ -105,7 +111,7 @@ def word_diff(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFram
         blocks = diff.blocks(a or [], b or [])
         yield (sum(k[1] for k in blocks), sum(k[3] for k in blocks), len(blocks))
 
-    cut = pairs.select(*keys, word_pieces(F.col(old)).alias("_old"), word_pieces(F.col(new)).alias("_new"))
+    cut = _dealt(pairs.select(*keys, word_pieces(F.col(old)).alias("_old"), word_pieces(F.col(new)).alias("_new")), keys)
     return per_row(cut, keys, ["_old", "_new"], "n_deleted int, n_inserted int, n_blocks int", body)
 
 
@@ -117,7 +123,7 @@ def line_diff(pairs: DataFrame, keys: list[str], old: str, new: str) -> DataFram
 
         return iter(diff.inline(a or [], b or []))
 
-    cut = pairs.select(*keys, split_lines(F.col(old)).alias("_old"), split_lines(F.col(new)).alias("_new"))
+    cut = _dealt(pairs.select(*keys, split_lines(F.col(old)).alias("_old"), split_lines(F.col(new)).alias("_new")), keys)
     return per_row(cut, keys, ["_old", "_new"], "change string, line string, old_line int, new_line int", body)
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import csvtext, images, packages
+from ..functions import csvtext, images, packages, pdf
 from ..operators.documents import per_row
 
 CELLS_DDL = "sheet string, sheet_ix int, row int, col int, kind string, num double, text string, bool boolean, err string, formula string, number_format string, is_date boolean"
@@ -110,3 +110,13 @@ def problems(source: DataFrame, kind: str) -> DataFrame:
             yield (str(e),)
 
     return per_row(source, ["path"], ["content"], "reason string", body)
+
+
+def pdf_letters(source: DataFrame) -> DataFrame:
+    """Letters of PDF files in drawing order: the fact table of the layout operators."""
+    return per_row(source, ["path"], ["content"], "page int, ord int, value string, x double, y double, width double, size double, font string, mode int", _each(pdf.letters))
+
+
+def pdf_pages(source: DataFrame) -> DataFrame:
+    """Boxes and rotation of pages."""
+    return per_row(source, ["path"], ["content"], "page int, `left` double, bottom double, `right` double, top double, rotation int", _each(pdf.page_boxes))

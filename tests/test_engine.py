@@ -168,3 +168,41 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pdf_letters_to_text(spark):
+    from quillframe.functions import pdf
+    from quillframe.operators import layout
+
+    made = pdf.write_text([["Hello (wide) world", "second line"], ["Page two", "café"]])
+    df = spark.createDataFrame([("p", bytearray(made)), ("bad", bytearray(b"x"))], "path string, content binary")
+    letters = files.pdf_letters(df).withColumnRenamed("path", "doc")
+    got = {r.page: r.text for r in layout.page_text(layout.words_of_letters(letters)).collect()}
+    assert got == {1: "Hello (wide) world\nsecond line", 2: "Page two\ncafé"}
+    assert [tuple(r)[1:] for r in files.pdf_pages(df).orderBy("page").collect()] == [(k, 0.0, 0.0, 612.0, 792.0, 0) for k in (1, 2)]
+    data = bytes(range(256)) * 3
+    assert pdf.run_length(b"\x02abc\xfed\x80") == b"abcddd" and pdf.inflated(__import__("zlib").compress(data)[:-3] + b"zzz")[:256] == data[:256]
+    assert pdf.lzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01])) == b"-----A---B"
+    areas = spark.createDataFrame([("p", 1, 0.0, 700.0, 700.0, 800.0)], "doc string, page int, l double, b double, r double, t double")
+    left = layout.redacted_letters(letters, areas)
+    assert {r.page: r.text for r in layout.page_text(layout.words_of_letters(left)).collect()} == {2: "Page two\ncafé"}
+
+
+def test_list_counters(spark):
+    from quillframe.operators import layout
+
+    levels = [0, 1, 1, 0, 1, 2, 1, 0]
+    items = spark.createDataFrame([("d", "l", i, k) for i, k in enumerate(levels)], "doc string, list string, pos int, level int")
+    labelled = layout.list_labels(layout.list_counters(items), ["%1.", "%1.%2", "%1.%2%3"], ["decimal", "decimal", "lowerLetter"])
+    assert [r.label for r in labelled.orderBy("pos").collect()] == ["1.", "1.1", "1.2", "2.", "2.1", "2.1a", "2.2", "3."]
+
+
+def test_layout_rules(spark):
+    from quillframe.operators import layout
+
+    points = spark.createDataFrame([("c", "a", 1, 2.0), ("c", "a", 2, -1.0), ("c", "a", 3, 3.0), ("c", "b", 1, None)], "chart string, category string, series int, value double")
+    assert sorted((r.category, r.series, r.low, r.high) for r in layout.stacked(points).collect()) == [("a", 1, 0.0, 2.0), ("a", 2, -1.0, 0.0), ("a", 3, 2.0, 5.0), ("b", 1, 0.0, 0.0)]
+    lines = spark.createDataFrame([("d", p, t) for p in (1, 2, 3) for t in (f"Report {p}", f"text {chr(96 + p)}", f"- {p} -")], "doc string, page int, text string")
+    assert {r.text for r in layout.decorations(lines).where("decoration").collect()} == {f"Report {p}" for p in (1, 2, 3)} | {f"- {p} -" for p in (1, 2, 3)}
+    refs = spark.createDataFrame([("d", 1, 1, 10, "x"), ("d", 1, 1, 20, "y"), ("d", 2, 2, 30, "x")], "doc string, section int, page int, pos int, note string")
+    assert [r.number for r in layout.note_numbers(refs).orderBy("pos").collect()] == [1, 2, 1] and [r.number for r in layout.note_numbers(refs, "section").orderBy("pos").collect()] == [1, 2, 1]
