@@ -206,3 +206,23 @@ def test_layout_rules(spark):
     assert {r.text for r in layout.decorations(lines).where("decoration").collect()} == {f"Report {p}" for p in (1, 2, 3)} | {f"- {p} -" for p in (1, 2, 3)}
     refs = spark.createDataFrame([("d", 1, 1, 10, "x"), ("d", 1, 1, 20, "y"), ("d", 2, 2, 30, "x")], "doc string, section int, page int, pos int, note string")
     assert [r.number for r in layout.note_numbers(refs).orderBy("pos").collect()] == [1, 2, 1] and [r.number for r in layout.note_numbers(refs, "section").orderBy("pos").collect()] == [1, 2, 1]
+
+
+def test_streams_give_what_batches_give(spark, tmp_path):
+    from quillframe.streaming import feeds
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.csv").write_text(f"a,b\n{k},x\n")
+    query = files.csv_records(feeds.arriving_files(spark, str(folder))).writeStream.format("memory").queryName("csv_records_stream").start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.table("csv_records_stream").count() == files.csv_records(files.files(spark, str(folder))).count() == 6
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.write.parquet(f"{tmp_path}/events")
+    made = feeds.windowed_counts(feeds.arriving_rows(spark, f"{tmp_path}/events", events.schema), "10 minutes", "1 hour", "ts", "event_type")
+    query = made.writeStream.outputMode("complete").format("memory").queryName("hourly_stream").start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.table("hourly_stream").agg({"n": "sum"}).first()[0] == events.count()
