@@ -19,5 +19,5 @@ def arriving_rows(spark: SparkSession, path: str, schema: StructType | str) -> D
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", length: str = "1 hour", time: str = "ts", *keys: str) -> DataFrame:
     """Counts and sums of ``value`` by window and keys; rows later than the watermark are dropped, as its semantics are."""
-    grouped = events.withWatermark(time, late).groupBy(F.window(time, length), *keys)
+    grouped = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, length), *keys)
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
