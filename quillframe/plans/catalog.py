@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import cells, formats, tolerant
 from ..functions import values as v
 from ..functions.worksheet import Context, compile_formula
-from ..operators import documents, sheets
+from ..operators import documents, recalculation, sheets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -267,3 +267,16 @@ FROM (SELECT l_returnflag, min(l_quantity) AS r1, min(l_linenumber) AS c1, max(l
 def used_ranges(spark, sf_dir):
     rows = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sheet"), F.col("l_quantity").cast("int").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_tax").alias("value"), F.lit(None).cast("string").alias("formula"))
     return sheets.used_range(rows, "sheet")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross,
+       CASE WHEN l_quantity >= 25 THEN 'bulk' ELSE 'single' END AS size
+FROM lineitem
+""")
+def recalculated_lines(spark, sf_dir):
+    """A sheet of dependent formulas, recalculated for every line item."""
+    inputs = {"A1": num("l_quantity"), "B1": num("l_extendedprice"), "C1": num("l_discount"), "D1": num("l_tax")}
+    formulas = {"G1": '=IF(A1>=25,"bulk","single")', "F1": "=E1*(1+D1)", "E1": "=B1*(1-C1)"}
+    rows = recalculation.recalculate(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), inputs, formulas)
+    return rows.select("l_orderkey", "l_linenumber", F.col("E1.n").alias("net"), F.col("F1.n").alias("gross"), v.to_json_text(F.col("G1")).alias("size"))

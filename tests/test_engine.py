@@ -226,3 +226,18 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("hourly_stream").agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_recalculation_order_cycles_and_reports(spark):
+    from quillframe.operators import recalculation as rc
+
+    order = rc.plan({"C1": "=B1+1", "B1": "=SUM(A1:A9)", "A2": "=1", "D1": "=Name+1", "E1": "=Other!A1"})
+    assert order.levels == [["A2"], ["B1"], ["C1"]] and set(order.unsupported) == {"D1", "E1"}
+    with pytest.raises(rc.CycleError) as e:
+        rc.plan({"A1": "=B1", "B1": "=C1+1", "C1": "=A1", "D1": "=1"})
+    assert sorted(e.value.cells) == ["A1", "B1", "C1"]
+    cells_ = spark.createDataFrame([("w", 1, 1, "num", 2.0, None, None, None), ("w", 2, 1, "text", None, "x", None, None)], "wb string, row int, col int, kind string, num double, text string, bool boolean, err string")
+    wide = rc.wide_cells(cells_, "wb", ["A1", "A2", "A3"])
+    rows = rc.recalculate(wide.select("wb", *[F.col(a).alias(f"in_{a}") for a in ("A1", "A2", "A3")]), {a: F.col(f"in_{a}") for a in ("A1", "A2", "A3")}, {"B1": "=A1*2", "B2": "=B1&A2", "B3": "=COUNTBLANK(A1:A3)", "B4": "=NOPE(1)"})
+    got = rows.select(*[v.to_json_text(F.col(a)) for a in ("B1", "B2", "B3", "B4")]).first()
+    assert tuple(got) == ("4", "4x", "1", "#NAME?") and rc.unknown_functions({"B4": "=1+NOPE(1)"}) == {"B4": "NOPE"}
