@@ -67,6 +67,70 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
+#: Places below this are a byte of their own; above, a byte tells a place's size and two of its bits.
+DIRECT, FIRST_BIT, LAST_BIT = 188, 8, 24
+
+
+#: Places that are coded at once.
+SEGMENT = 1 << 20
+
+
+def _places_out(places: np.ndarray) -> bytes:
+    """Places, frequent ones small, segment by segment."""
+    done = [_segment_out(places[k : k + SEGMENT].astype(np.int64)) for k in range(0, len(places), SEGMENT)]
+    return np.array([len(done), *map(len, done)], "<u4").tobytes() + b"".join(done)
+
+
+def _places_in(data: bytes) -> np.ndarray:
+    count_of = int(np.frombuffer(data, "<u4", 1)[0])
+    sizes = np.frombuffer(data, "<u4", count_of, 4).tolist()
+    out, at = [np.empty(0, "<u4")], 4 + 4 * count_of
+    for n in sizes:
+        out.append(_segment_in(data[at : at + n]).astype("<u4"))
+        at += n
+    return np.concatenate(out)
+
+
+def _segment_out(places: np.ndarray) -> bytes:
+    """A byte a place, and what it leaves open by size class; each part compressed. A first byte tells the form."""
+    n = places - DIRECT + (1 << FIRST_BIT)
+    if len(places) and int(n.max()) >= 1 << (LAST_BIT + 1):
+        return b"\0" + _squeezed(places)
+    large = places >= DIRECT
+    bits = np.frexp(n[large].astype(np.float64))[1] - 1
+    klass = places.astype(np.uint8)
+    klass[large] = DIRECT + (bits - FIRST_BIT) * 4 + (n[large] >> (bits - 2) & 3)
+    parts = [klass.tobytes()]
+    for b in range(FIRST_BIT, LAST_BIT + 1):
+        low = n[large][bits == b] & ((1 << (b - 2)) - 1)
+        parts += [(low >> k).astype(np.uint8).tobytes() for k in range(0, b - 2, 8)]
+    packer = zstandard.ZstdCompressor(level=3)
+    done = [packer.compress(x) for x in parts]
+    return b"\1" + np.array([len(places), *map(len, done)], "<u4").tobytes() + b"".join(done)
+
+
+def _segment_in(data: bytes) -> np.ndarray:
+    if data[:1] == b"\0":
+        return _numbers(data[1:]).astype(np.int64)
+    count_of = 1 + sum(-(-(b - 2) // 8) for b in range(FIRST_BIT, LAST_BIT + 1))
+    head = np.frombuffer(data, "<u4", count_of + 1, 1).astype(np.int64)
+    ends = np.cumsum(head[1:]) + 1 + 4 * (count_of + 1)
+    unpack = zstandard.ZstdDecompressor()
+    parts = iter([np.frombuffer(unpack.decompress(data[e - n : e]), np.uint8) for e, n in zip(ends.tolist(), head[1:].tolist(), strict=True)])
+    klass = next(parts)
+    places = klass.astype(np.int64)
+    large = np.flatnonzero(klass >= DIRECT)
+    code = places[large] - DIRECT
+    bits = code // 4 + FIRST_BIT
+    n = np.left_shift(1, bits) | np.left_shift(code % 4, bits - 2)
+    for b in range(FIRST_BIT, LAST_BIT + 1):
+        here = bits == b
+        for k in range(0, b - 2, 8):
+            n[here] |= next(parts).astype(np.int64) << k
+    places[large] = n - (1 << FIRST_BIT) + DIRECT
+    return places
+
+
 def _packed(words: list[bytes]) -> bytes:
     """Lengths (32 bits each) and bytes of words, after their number; compressed."""
     return zstandard.ZstdCompressor(level=3).compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words))
@@ -88,9 +152,9 @@ def _chunker(pattern: str, buckets: int, chunk_bytes: int):
 
         def chunk(ids: list, counts: list[int], places: list[np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
             # Frequent words get small places, which compress better.
-            places = np.concatenate([*places, np.empty(0, "<u4")]).astype(np.int64)
+            places = np.concatenate([*places, np.empty(0, "<u4")])
             often = np.argsort(-np.bincount(places, minlength=len(seen)), kind="stable")
-            place = np.empty(len(often), np.int64)
+            place = np.empty(len(often), "<u4")
             place[often] = np.arange(len(often))
             words = [w.encode() for w in seen]
             words = [words[k] for k in often.tolist()]
@@ -100,7 +164,7 @@ def _chunker(pattern: str, buckets: int, chunk_bytes: int):
             packed = [_packed([words[k] for k in p]) for p in parts]
             numbers = [_squeezed(np.diff(p, prepend=0)) for p in parts]
             nulls = np.array([i is None for i in ids], np.uint8).tobytes()
-            row = (next(number), np.array([i or 0 for i in ids], "<i8").tobytes(), nulls, _squeezed(np.array(counts)), _squeezed(place[places]), packed, numbers)
+            row = (next(number), np.array([i or 0 for i in ids], "<i8").tobytes(), nulls, _squeezed(np.array(counts)), _places_out(place[places]), packed, numbers)
             return batch_of(CHUNKS, *([x] for x in row))
 
         def fresh():
@@ -158,7 +222,7 @@ def _joiner():
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in ("doc_ids", "nulls", "counts", "places", "numbers", "parts")}
                 flat, size, begin = dictionary(row["numbers"], [(p["bucket"], p["sizes"], p["ids"]) for p in row["parts"]])
-                places, counts = _numbers(row["places"]), _numbers(row["counts"])
+                places, counts = _places_in(row["places"]), _numbers(row["counts"])
                 doc_ids, nulls = np.frombuffer(row["doc_ids"], "<i8").tolist(), np.frombuffer(row["nulls"], np.uint8).tolist()
                 ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 step = 256

@@ -382,3 +382,11 @@ def test_queries_match_their_sql(spark):
         mine = sorted(map(repr, (tuple(r) for r in df.select(*names).collect())))
         theirs = sorted(map(repr, con.sql(f"select {', '.join(names)} from ({sql})").fetchall()))
         assert mine == theirs, name
+
+
+def test_places_survive_their_coding():
+    r = np.random.default_rng(3)
+    for top in (1, 188, 200, 70_000, 1 << 25, 1 << 26):
+        places = np.concatenate([r.integers(0, top, 500), [0, top - 1]]).astype(np.int64)
+        assert (byte_bpe._places_in(byte_bpe._places_out(places)) == places).all()
+    assert len(byte_bpe._places_in(byte_bpe._places_out(np.empty(0, np.int64)))) == 0
