@@ -149,7 +149,7 @@ def test_images():
 def test_queries_match_their_sql(spark):
     import duckdb
 
-    from quillframe.plans import catalog
+    from quillframe.plans import catalog, ordered, scalars  # noqa: F401
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
