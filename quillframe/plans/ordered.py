@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tolerant
-from ..operators import layout
+from ..operators import conversions, layout
 from .catalog import _read, query
 
 
@@ -112,3 +112,51 @@ def page_decorations(spark, sf_dir):
     """Lines that recur on half of a document's pages: suppliers as documents, parts as pages."""
     lines = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("page"), F.concat("l_returnflag", "l_linestatus").alias("text"), "l_orderkey", "l_linenumber")
     return layout.decorations(lines).select(F.col("doc").alias("l_suppkey"), F.col("page").alias("l_partkey"), "decoration", "l_orderkey", "l_linenumber")
+
+
+@query("""
+WITH u AS (SELECT l_returnflag, min(l_linenumber) AS c1, max(l_linenumber) AS c2 FROM lineitem GROUP BY ALL),
+e AS (SELECT o.l_returnflag, k.row_at, unnest(range(c1, c2 + 1)) AS col FROM u o JOIN (SELECT l_returnflag, unnest(range(min(l_orderkey), max(l_orderkey) + 1)) AS row_at FROM lineitem GROUP BY l_returnflag) k ON k.l_returnflag = o.l_returnflag)
+SELECT e.l_returnflag, e.row_at, string_agg(coalesce(t.shown, ''), ',' ORDER BY e.col) AS record
+FROM e LEFT JOIN (SELECT l_returnflag, l_orderkey, l_linenumber, any_value(l_linestatus) AS shown FROM lineitem GROUP BY ALL) t
+  ON t.l_returnflag = e.l_returnflag AND t.l_orderkey = e.row_at AND t.l_linenumber = e.col
+GROUP BY e.l_returnflag, e.row_at
+""")
+def sheet_records(spark, sf_dir):
+    """Used ranges as CSV: a sheet a return flag, orders as rows, line numbers as columns."""
+    cells = _read(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_orderkey").cast("int").alias("row"), F.col("l_linenumber").alias("col")).agg(F.first("l_linestatus").alias("shown")).withColumn("kind", F.lit("text"))
+    return conversions.sheet_csv(cells, ["l_returnflag"]).select("l_returnflag", F.col("row").cast("long").alias("row_at"), "record")
+
+
+@query("""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^[ \\t]+', ''), '[\\r\\n]', ' ', 'g'), '([\\\\`*_\\[\\]<>&|~])', '\\\\\\1', 'g'), '^([#+=-])', '\\\\\\1'), '^([0-9]+)([.)])', '\\1\\\\\\2') AS escaped FROM documents
+""")
+def markdown_texts(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", conversions.markdown_escape(F.col("text")).alias("escaped"))
+
+
+@query("""
+SELECT o_orderkey, date_trunc('day', o_orderdate) + to_seconds(o_custkey % 86400) - INTERVAL 90 MINUTE AS written FROM orders
+""")
+def pdf_dates(spark, sf_dir):
+    """Dates in the form that PDF files keep them, read back."""
+    at = F.timestamp_seconds(F.unix_timestamp(F.date_trunc("day", "o_orderdate")) + F.col("o_custkey") % 86400)
+    text = F.concat(F.lit("D:"), F.date_format(at, "yyyyMMddHHmmss"), F.lit("+01'30'"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", conversions.pdf_date(text).alias("written"))
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'click' THEN 'Bild ' || user_id || ' fehlt (' || event_id || ').' WHEN 'purchase' THEN 'Chart of ' || user_id || ' was skipped.' END AS message FROM events
+""")
+def gap_texts(spark, sf_dir):
+    """Gap messages by code in a culture, English where it has none, none for an unknown code."""
+    templates = spark.createDataFrame([("click", "en", "Picture {0} is missing ({1})."), ("click", "de", "Bild {0} fehlt ({1})."), ("purchase", "en", "Chart of {0} was skipped.")], "code string, culture string, template string")
+    gaps = _read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("code"), F.array(F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("arguments"))
+    return conversions.gap_messages(gaps, templates, "de").select("event_id", "message")
+
+
+@query()
+def block_reading_order(spark, sf_dir):
+    """Reading order of boxes: an order a page, its lines as blocks."""
+    blocks = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("left"), (F.col("l_tax") * 1000).alias("bottom"), (F.col("l_quantity") + 10).alias("right"), (F.col("l_tax") * 1000 + 12).alias("top"))
+    return conversions.reading_order(blocks, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "place")

@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import csvtext, images, packages, pdf
+from ..functions import csvtext, images, package_edit, packages, pdf, pdf_edit, rasters
+from ..operators.conversions import pdf_date
 from ..operators.documents import per_row
 
 CELLS_DDL = "sheet string, sheet_ix int, row int, col int, kind string, num double, text string, bool boolean, err string, formula string, number_format string, is_date boolean"
@@ -120,3 +121,59 @@ def pdf_letters(source: DataFrame) -> DataFrame:
 def pdf_pages(source: DataFrame) -> DataFrame:
     """Boxes and rotation of pages."""
     return per_row(source, ["path"], ["content"], "page int, `left` double, bottom double, `right` double, top double, rotation int", _each(pdf.page_boxes))
+
+
+def pdf_information(source: DataFrame) -> DataFrame:
+    """Title, author and so on, dates as written and read."""
+    found = per_row(source, ["path"], ["content"], "title string, author string, subject string, keywords string, creator string, producer string, created_text string, changed_text string", _each(pdf_edit.information))
+    return found.withColumn("created", pdf_date(F.col("created_text"))).withColumn("changed", pdf_date(F.col("changed_text")))
+
+
+def pdf_form_fields(source: DataFrame) -> DataFrame:
+    return per_row(source, ["path"], ["content"], "name string, kind string, value string, flags int, options array<string>", _each(pdf_edit.form_fields))
+
+
+def pdf_parts(source: DataFrame, every: int) -> DataFrame:
+    """Files of so many pages each: path, part from 1, content."""
+
+    def cut(content: bytes) -> Iterator[tuple]:
+        n = len(pdf.Document(content).pages())
+        for part, first in enumerate(range(1, n + 1, every), 1):
+            yield part, pdf_edit.extracted(content, range(first, min(first + every, n + 1)))
+
+    return per_row(source, ["path"], ["content"], "part int, pages binary", _each(cut)).withColumnRenamed("pages", "content")
+
+
+def chart_points(source: DataFrame) -> DataFrame:
+    """Points of the charts of workbooks, a row each."""
+    return per_row(source, ["path"], ["content"], "sheet string, chart int, kind string, title string, series int, name string, formula string, point int, category string, value double", _each(package_edit.chart_points))
+
+
+def edited_workbooks(source: DataFrame, edits: DataFrame) -> DataFrame:
+    """Workbooks with edits (path, sheet, ref, kind, value as text, position) applied in order of position; a refused edit leaves its file out and gives ``problem``."""
+    ordered = F.sort_array(F.collect_list(F.struct("position", "sheet", "ref", "kind", "value")))
+    joined = source.join(edits.groupBy("path").agg(ordered.alias("_edits")), "path", "left")
+
+    def body(content: bytes | None, changes: list | None) -> Iterator[tuple]:
+        value = lambda e: float(e["value"]) if e["kind"] == "num" else e["value"].lower() == "true" if e["kind"] == "bool" else e["value"]
+        try:
+            yield package_edit.edited_workbook(content or b"", [(e["sheet"], e["ref"], e["kind"], value(e)) for e in changes or []]), None
+        except ValueError as e:
+            yield None, str(e)
+
+    return per_row(joined, ["path"], ["content", "_edits"], "edited binary, problem string", body)
+
+
+def settled_documents(source: DataFrame, accept: bool = True) -> DataFrame:
+    """Documents with their tracked changes accepted or rejected."""
+    return per_row(source, ["path"], ["content"], "settled binary", _each(lambda c: [(package_edit.settled_document(c, accept),)]))
+
+
+def decoded_images(source: DataFrame) -> DataFrame:
+    """width, height, channels and pixels (row by row) of PNG, BMP, GIF and TIFF images."""
+
+    def read(content: bytes) -> Iterator[tuple]:
+        pixels = rasters.decode(content)
+        yield pixels.shape[1], pixels.shape[0], pixels.shape[2], pixels.tobytes()
+
+    return per_row(source, ["path"], ["content"], "width int, height int, channels int, pixels binary", _each(read))
