@@ -53,8 +53,8 @@ def rules() -> list[Rule]:
         Rule("symbol_ratio", 10 * F.col("n_symbols") > words),
         Rule("word_length", (F.col("word_chars") < 2 * words) | (F.col("word_chars") > 15 * words)),
         Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
-        Rule("ellipsis_lines", 10 * F.regexp_count(text, F.lit("(?m)(?:\\.\\.\\.|\u2026)[ \\t\\r]*$")) > 5 * F.col("n_lines"), "n_chars", 1.0),
-        Rule("bullet_lines", 10 * F.regexp_count(text, F.lit("(?m)^[ \\t]*[-*\u2022\u2023\u25cf]")) > 9 * F.col("n_lines"), "n_chars", 0.5),
+        Rule("ellipsis_lines", 10 * F.regexp_count(text, F.lit("(?md)(?:\\.\\.\\.|\u2026)[ \\t\\r]*$")) > 5 * F.col("n_lines"), "n_chars", 1.0),
+        Rule("bullet_lines", 10 * F.regexp_count(text, F.lit("(?md)^[ \\t]*[-*\u2022\u2023\u25cf]")) > 9 * F.col("n_lines"), "n_chars", 0.5),
         Rule("without_letters", 10 * F.length(F.regexp_replace(text, "[^\\p{L}\\p{M}]+", "")) < 4 * F.col("word_chars"), "n_chars", 4.0),
     ]
 

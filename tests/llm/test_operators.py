@@ -301,6 +301,9 @@ def test_quality_measures_and_cascade(spark, docs, empty):
     orders = [quality.rules(), quality.rules()[::-1]]
     kept = [{r.doc_id for r in quality.judge(df, o).where("kept").collect()} for o in orders]
     assert kept[0] == kept[1] == {r.doc_id for r in rows if r.kept}
+    # Only a line feed ends a line, for the rules on line ends as for the counts.
+    odd = " ".join(f"wording{chr(97 + i % 26) * (1 + i // 26)}...\u0085" for i in range(60)) + " end"
+    assert quality.judge(spark.createDataFrame([(1, odd), (2, odd.replace("\u0085", "\n"))], "doc_id long, text string")).orderBy("doc_id").select("rejected_by").collect() == [(None,), ("ellipsis_lines",)]
     assert quality.judge(empty).count() == 0
     good = quality.keep_good(docs)
     assert good.columns == docs.columns
