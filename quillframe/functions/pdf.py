@@ -7,6 +7,8 @@ import re
 import zlib
 from collections.abc import Iterator
 
+from . import pdf_crypt
+
 MAX_STREAM, MAX_DEPTH = 512 << 20, 12
 OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})\s+(\d{1,5})\s+obj\b")
 TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]{}]|/[^\s()<>\[\]{}/%]*|\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|[^\s()<>\[\]{}/%]+|[()]", re.S)
@@ -100,14 +102,24 @@ def _name(token: bytes) -> Name:
 
 
 class Document:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: str = ""):
         if b"%PDF-" not in data[:1024]:
             raise ValueError("no PDF")
-        self.data, self.at, self.packed, self.cache = data, {}, {}, {}
+        self.data, self.at, self.generation, self.packed, self.cache = data, {}, {}, {}, {}
         for m in OBJECT.finditer(data):
             self.at[int(m[1])] = m.end()
-        if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
-            raise ValueError("the file is encrypted")
+            self.generation[int(m[1])] = int(m[2])
+        self.opened = None
+        if found := re.findall(rb"/Encrypt\s+(\d+)\s+\d+\s+R", data):
+            ident = re.search(rb"/ID\s*\[", data)
+            first = Lexer(data, ident.end()).value() if ident else b""
+            entry = self.get(Ref((int(found[-1]), 0)))
+            if not isinstance(entry, dict):
+                raise ValueError("the file is encrypted")
+            try:
+                self.opened = pdf_crypt.opener(entry, first if isinstance(first, bytes) else b"", password)
+            except (KeyError, TypeError) as e:
+                raise ValueError("the encryption is damaged") from e
         for n in list(self.at):
             o = self.get(Ref((n, 0)))
             if isinstance(o, Stream) and o.get("Type") == "ObjStm":
@@ -149,8 +161,19 @@ class Document:
                 end = len(self.data) if end < 0 else end
             s = Stream(v)
             s.data = self.data[m.end() : end]
+            if self.opened and v.get("Type") != "XRef":
+                s.data = self.opened(n, self.generation[n], s.data, True)
+                s.update(self._plain(n, v))
             return s
-        return v
+        return self._plain(n, v) if self.opened else v
+
+    def _plain(self, n: int, v):
+        """A value with its strings decrypted."""
+        if isinstance(v, dict):
+            return {k: self._plain(n, x) for k, x in v.items()}
+        if isinstance(v, bytes):
+            return self.opened(n, self.generation[n], v, False)
+        return [self._plain(n, x) for x in v] if isinstance(v, list) else v
 
     def pages(self) -> list[dict]:
         """Page dictionaries in order, with what they inherit."""
@@ -415,9 +438,9 @@ def _drawn(doc: Document, data: bytes, resources: dict, base: tuple, depth: int)
             continue
 
 
-def letters(content: bytes) -> Iterator[tuple]:
+def letters(content: bytes, password: str = "") -> Iterator[tuple]:
     """(page from 1, ord, value, x, y, width, size, font, mode) of a file."""
-    doc = Document(content)
+    doc = Document(content, password)
     for n, page in enumerate(doc.pages(), 1):
         for k, letter in enumerate(page_letters(doc, page)):
             yield n, k, letter[0], *(float(x) for x in letter[1:5]), letter[5], int(letter[6] or 0)

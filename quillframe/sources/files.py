@@ -113,9 +113,9 @@ def problems(source: DataFrame, kind: str) -> DataFrame:
     return per_row(source, ["path"], ["content"], "reason string", body)
 
 
-def pdf_letters(source: DataFrame) -> DataFrame:
-    """Letters of PDF files in drawing order: the fact table of the layout operators."""
-    return per_row(source, ["path"], ["content"], "page int, ord int, value string, x double, y double, width double, size double, font string, mode int", _each(pdf.letters))
+def pdf_letters(source: DataFrame, password: str = "") -> DataFrame:
+    """Letters of PDF files in drawing order: the fact table of the layout operators. Encrypted files open with the user's or the owner's password."""
+    return per_row(source, ["path"], ["content"], "page int, ord int, value string, x double, y double, width double, size double, font string, mode int", _each(lambda content: pdf.letters(content, password)))
 
 
 def pdf_pages(source: DataFrame) -> DataFrame:
