@@ -132,3 +132,15 @@ def repeated_lines(docs: DataFrame, least: int, key: str = "doc_id", text: str =
     lines = docs.select(key, F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, "[0-9]+", "#"))))).alias("masked"))
     found = lines.where("masked <> ''").groupBy("masked").agg(F.count(F.lit(1)).alias("docs"))
     return found.where(F.col("docs") >= least)
+
+
+def visual_texts(docs: DataFrame, key: str, text: str, paragraph: int = 0) -> DataFrame:
+    """key and ``visual``: each text as one line, in the order in which it stands. Only texts with anything to reorder are sent through the algorithm, which a built-in pattern tells; a null stays null."""
+
+    def body(source: str | None, reorders: bool) -> Iterator[tuple]:
+        from ..functions import bidi
+
+        yield (bidi.visual(source, paragraph) if source is not None and (reorders or paragraph) else source,)
+
+    strong = F.coalesce(F.col(text).rlike("[֐-ࣿיִ-﷿ﹰ-﻿‏‫‮⁧⁨\\x{10800}-\\x{10FFF}\\x{1E800}-\\x{1EFFF}]"), F.lit(False))
+    return per_row(docs.withColumn("_reorders", strong), [key], [text, "_reorders"], "visual string", body)
