@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, quality rules, SimHash near-dedup, packing.
+"""The corpus pipeline: toxicity, quality rules, near-dedup by shingles, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 reread as the next stage's docs. All but the last return the columns of documents.
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe.llm import packing, quality, simhash, toxicity
+from quillframe.llm import near_copies, packing, quality, toxicity
 from quillframe.llm.common import cut
 from quillframe.llm.queries import WORD_BPE, table, vocabulary
 
@@ -26,8 +26,11 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, by the fingerprints and radius of op2, the document with the smallest id stays."""
-    return simhash.keep_one(docs, radius=4, words=4)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
+
+    No radius of 64-bit fingerprints finds all of them, so op2's are not used: the shingle sets are compared.
+    """
+    return near_copies.keep_one(docs, words=5)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

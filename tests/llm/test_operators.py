@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillframe.llm import byte_bpe, langid, packing, quality, queries, simhash, token_counts, token_files, topk, toxicity, url_filter
+from quillframe.llm import byte_bpe, langid, near_copies, packing, quality, queries, simhash, token_counts, token_files, topk, toxicity, url_filter
 from quillframe.llm.common import new_path
 from quillframe.llm.word_bpe import WordBpe
 
@@ -354,6 +354,49 @@ def test_ball_tree_prunes():
     assert tree.visited < len(vectors) / 4
 
 
+def plain_groups(rows: list[tuple[int, str | None]]) -> dict[int, int]:
+    """The smallest id that each document reaches over pairs of five-word Jaccard similarity 0.8 or more."""
+    sets, root = {}, {}
+    for i, t in rows:
+        parts = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or ""))
+        sets[i], root[i] = {tuple(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))} if parts else set(), i
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                p, q = sorted((root[i], root[j]))
+                root = {k: p if v == q else v for k, v in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("common", [200_000, 3])
+def test_near_copies_are_exact(spark, docs, empty, monkeypatch, common):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    r = random.Random(4)
+    word = lambda: r.choice(WORDS) + r.choice("abcdefgh")
+    passage, rows = [word() for _ in range(40)], []
+    for k in range(12):  # edited copies of one text, more and more edits; a passage that all share
+        base = [*passage, *(word() for _ in range(r.randint(30, 150)))]
+        rows.append((100 * k, " ".join(base)))
+        for n in range(1, 7):
+            text = list(base)
+            for _ in range(n if k % 2 else 1 + n % 3):
+                text[r.randrange(len(text))] = word()
+            rows.append((100 * k + n, " ".join(text).upper() if n == 2 else "\n".join(text)))
+    rows += [(5000, None), (5001, ""), (5002, " \t"), (5003, "a b"), (5004, "A  b"), (5005, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_groups(rows)
+    assert 20 < len(set(want.values())) < len(rows) - 20
+    assert {x.doc_id: x.component_id for x in near_copies.linked(df).collect()} == want
+    if common == 200_000:
+        assert {x.doc_id for x in corpus_pipeline.distinct(spark, df, "").collect()} == set(want.values())
+        assert near_copies.keep_one(empty).count() == 0
+        assert near_copies.keep_one(docs).columns == docs.columns
+        ids = spark.createDataFrame([(None, "x y z"), (7, "x y z"), (None, "only here"), (9, "p q"), (9, "p q")], "doc_id long, text string")
+        assert sorted(map(tuple, near_copies.keep_one(ids).collect()), key=repr) == [(7, "x y z"), (9, "p q"), (9, "p q"), (None, "only here"), (None, "x y z")]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
