@@ -217,10 +217,17 @@ def repeated_lines(spark, sf_dir):
 SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages WHERE regexp_matches(html, '<title>[^<&]*</title>')
 """)
 def html_titles(spark, sf_dir):
+    """Titles without an entity in a plain tag, the pages whose titles SQL can read; ``html_page_titles`` takes all pages."""
     rows = _read(spark, sf_dir, "pages").where(F.col("html").rlike("<title>[^<&]*</title>"))
     return documents.html_titles(rows, "page_id", "html")
 
 
+@query()
+def html_page_titles(spark, sf_dir):
+    """The title of every page, entities decoded; empty if it has none or its html is null."""
+    return documents.html_titles(_read(spark, sf_dir, "pages"), "page_id", "html")
+
+
 @query()
 def html_nodes(spark, sf_dir):
     """Nodes of every page as a table."""

@@ -163,6 +163,34 @@ def test_queries_match_their_sql(spark):
         assert mine == theirs, name
 
 
+def test_titles_of_all_pages(spark, tmp_path):
+    from html.parser import HTMLParser
+
+    import __spark_entry__ as e
+
+    class Titles(HTMLParser):
+        inside, found = False, ""
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "title"
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "title"
+
+        def handle_data(self, data):
+            self.found += data if self.inside else ""
+
+    def brute(page):
+        reader = Titles()
+        reader.feed(page or "")
+        return reader.found.strip()
+
+    pages = ["<title>plain</title>", "<head><title>a &amp; b &#233; &lt;c&gt;</title></head>", '<title lang="en">with attribute</title>', "<TITLE>Upper</TITLE>", "<p>none</p>", "", None, "<title> \n</title>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.title for r in e.queries()["html_page_titles"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(page) for i, page in enumerate(pages)}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
