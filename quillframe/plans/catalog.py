@@ -191,8 +191,9 @@ SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHE
 FROM documents WHERE NOT contains(text, chr(13)) AND text <> ''
 """)
 def text_lines(spark, sf_dir):
+    """Lines of every document at CRLF, LF or CR: one of an empty text, null of a null. The SQL counts line feeds, of texts without CR that are not empty."""
     t = F.col("text")
-    return _read(spark, sf_dir, "documents").where(~t.contains("\r") & (t != "")).select("doc_id", F.size(tolerant.split_lines(t)).alias("n_lines"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.when(t == "", 1).when(t.isNotNull(), F.size(tolerant.split_lines(t))).alias("n_lines"))
 
 
 @query("""

@@ -191,6 +191,15 @@ def test_titles_of_all_pages(spark, tmp_path):
     assert got == {i: brute(page) for i, page in enumerate(pages)}
 
 
+def test_lines_of_all_texts(spark, tmp_path):
+    import __spark_entry__ as e
+
+    lines = {"a\r\nb\rc\nd": 4, "a\r\n": 1, "a\r": 1, "\r\r\n": 2, "a\n\nb": 3, "\n": 1, "a": 1, "": 1, None: None}
+    spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_lines for r in e.queries()["text_lines"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(lines.values()))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
