@@ -11,9 +11,10 @@ kind of work, which is stated with the rule; selectivity is the share of sample
 among those the base rule keeps.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null texts count as empty: no words, so the base rule rejects
-them. Repeated windows of three words are found by a 64-bit key of the words' hash and their place:
-the upper bits of the hash above as many bits as the number of windows needs, so a text of a million
-words still has 44 bits of hash. Repeated rows give repeated rows; an empty table gives an empty
+them.
+them. Repeated windows of three words are found by sorting the windows' 64-bit hashes and comparing the
+words of neighbours; a text in which different windows share a hash is sorted by the words instead, so
+the count is exact at any length. Repeated rows give repeated rows; an empty table gives an empty
 result and the rules' given order. Columns of the input are kept except for those named as an output,
 which are replaced.
 """
@@ -64,15 +65,26 @@ def _with(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _window_keys() -> Column:
-    """Sorted keys of the windows of three words: hash bits above, the window's place below."""
-    place = F.col("_place_bits")
+def _words_at(i: Column) -> list[Column]:
+    return [F.get("_words", i + k) for k in range(3)]
 
-    def key(i: Column) -> Column:
-        h = F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
-        return F.call_function("shiftleft", F.call_function("shiftrightunsigned", h, place), place).bitwiseOR(i.cast("long"))
 
-    return F.when(F.size("_words") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_words") - 3), key))).otherwise(F.array().cast("array<bigint>"))
+def _same_words(i: Column, j: Column) -> Column:
+    """Whether the windows of three words at two places are equal; null if a place is."""
+    one, two = _words_at(i), _words_at(j)
+    return (one[0] == two[0]) & (one[1] == two[1]) & (one[2] == two[2])
+
+
+def _places(*before: str) -> Column:
+    """The places of the windows of three words, sorted by their hash or, with names for them, by the words themselves."""
+    key = (lambda i: [F.xxhash64(*_words_at(i)).alias("h")]) if not before else (lambda i: [c.alias(n) for n, c in zip(before, _words_at(i), strict=True)])
+    return F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(*key(i), i.alias("i"))))
+
+
+def _window_order() -> Column:
+    """Places of the windows in an order in which equal windows are neighbours: by hash or, where different windows share a hash, by words."""
+    clash = F.filter(F.col("_hashed"), lambda x, k: (F.get("_hashed", k + 1)["h"] == x["h"]) & ~_same_words(x["i"], F.get("_hashed", k + 1)["i"]))
+    return F.when(F.size(clash) > 0, F.transform(_places("a", "b", "c"), lambda x: x["i"])).otherwise(F.transform("_hashed", lambda x: x["i"]))
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -80,15 +92,12 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     step = _with(docs, _words=F.array_remove(F.split(text, SPACE), ""), _lines=lines)
-    step = _with(step, _place_bits=F.greatest(F.length(F.conv(F.size("_words").cast("string"), 10, 2)), F.lit(1)))
-    step = _with(step, _keys=_window_keys())
-    place = F.col("_place_bits")
-    top = lambda x: F.call_function("shiftrightunsigned", x, place)
-    # A window is repeated if a neighbour in key order has its hash; the first place has no one before it, the last no one after it.
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), place) - 1
-    again = F.filter(F.col("_keys"), lambda x, i: (top(F.get("_keys", i - 1)) == top(x)) | (top(F.get("_keys", i + 1)) == top(x)))
-    step = _with(step, _at=F.sort_array(F.transform(again, lambda x: x.bitwiseAND(low))))
-    gaps = F.zip_with(F.col("_at"), F.slice("_at", 2, F.greatest(F.size("_at") - 1, F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(3).cast("long")), F.lit(3).cast("long")))
+    step = _with(step, _hashed=F.when(F.size("_words") >= 3, _places()).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    step = _with(step, _order=_window_order())
+    # A window is repeated if a neighbour in this order has its words; the first place has no one before it, the last no one after it.
+    again = F.filter(F.col("_order"), lambda x, k: _same_words(x, F.get("_order", k - 1)) | _same_words(x, F.get("_order", k + 1)))
+    step = _with(step, _at=F.sort_array(again))
+    gaps = F.zip_with(F.col("_at"), F.slice("_at", 2, F.greatest(F.size("_at") - 1, F.lit(1))), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)).cast("long"))
     step = _with(
         step,
         n_words=F.size("_words").cast("long"),
@@ -99,7 +108,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         n_lines=F.size("_lines").cast("long"),
         n_chars=F.length(text).cast("long"),
     )
-    return step.drop("_words", "_lines", "_place_bits", "_keys", "_at")
+    return step.drop("_words", "_lines", "_hashed", "_order", "_at")
 
 
 def order(docs: DataFrame, candidates: Sequence[Rule], id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:

@@ -309,6 +309,15 @@ def test_quality_measures_and_cascade(spark, docs, empty):
     assert good.columns == docs.columns
 
 
+def test_repeated_words_are_exact_where_hashes_collide(spark, monkeypatch):
+    real = quality.F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: quality.F.shiftleft(quality.F.pmod(real(*c), quality.F.lit(3)), 61))
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("abcdefghij"[: 2 + i]) for _ in range(60))) for i in range(8)] + [(8, "a b c x a b c y b c x"), (9, " ".join(map(str, range(80))))]
+    found = quality.measures(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [x.n_repeat_words for x in sorted(found)] == [brute_quality(t)[4] for _, t in rows]
+
+
 def test_url_filter_as_of(spark):
     entries = spark.createDataFrame(
         [("Bad.example", "add", "2024-01-10", "x"), ("bad.example", "remove", "2024-02-01", "x"), ("bad.example", "add", "2024-02-01", "x"), ("bad.example", "remove", "2024-03-01", "x"), ("a.bad.example", "add", "2024-01-20", "y"), (None, "add", "2024-01-01", "z"), ("late.example", "remove", "2024-01-01", "z"), ("bad.example", "add", "2024-01-15", "x")],
