@@ -1,16 +1,17 @@
-"""Near copies by exact similarity: one document of each group stays.
+"""Near copies by SimHash candidates and exact similarity: one document of each group stays.
 
 Shingles: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, ``words`` words joined by a space (a shorter text
 is one shingle, a text without words has none), as a set of XXH64 hashes. Links: two sets whose Jaccard
-similarity is ``LEAST`` (four fifths) or more, compared in whole numbers. A fingerprint of 64 bits loses
-such pairs at any radius that separates anything, so candidates come from the sets themselves and none is lost:
-with all hashes in one order, two linked sets share a hash among the first fifth (and one) of each. Rare
-hashes come first, which keeps the candidates few; which hashes are common is estimated on a sample, and
-a poor estimate costs work, never a link.
+similarity is ``LEAST`` (four fifths) or more, compared in whole numbers, on the whole sets.
 
-Equal sets are represented by their smallest id. Candidates are first each set and the smallest id at a
-shared hash; the others are compared only where these links have not already joined their groups, so a
-large group of near copies does not yield all its pairs. Every link found is confirmed on the whole sets.
+Candidates come in three steps, each confirmed. The first takes the SimHash fingerprints of the same shingles
+(``simhash``: bit-sliced comparison within ``RADIUS`` bits). A fingerprint of 64 bits loses links at any radius
+that separates anything, so two more steps find the rest, from the sets themselves, and none is lost: with all
+hashes in one order, two linked sets share a hash among the first fifth (and one) of each. Rare hashes come
+first, which keeps the candidates few; which hashes are common is estimated on a sample, and a poor estimate
+costs work, never a link. The second step takes each set with the smallest id at a shared hash; the last
+compares the others only where the links found have not already joined their groups, so a large group of near
+copies does not yield all its pairs. Equal sets are represented by their smallest id.
 
 Nulls and empty texts are copies of each other. Repeated rows give repeated rows, and rows of one id are
 one document, also rows of a null id: they stay if one of them has no other in its group. An empty table
@@ -27,33 +28,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, slices
-from .simhash import components
+from .common import cut, drop, id_and_text, release, slices
+from .simhash import components, fingerprint_of, link_forest, shingle_hashes
 
-SEED = 42
+#: Bits in which fingerprints of the first step's candidates differ at most.
+RADIUS = 4
 #: The least similarity of a link, as a fraction.
 LEAST = (4, 5)
 #: Documents of the sample for common hashes, in expectation, and the most hashes that are called common.
 SAMPLE_ROWS, COMMON = 10_000, 200_000
 LONGS = pa.list_(pa.int64())
-SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("head", LONGS), ("tail", LONGS)])
+SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("head", LONGS), ("tail", LONGS)])
 
 
 def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    parts = (text or b"").lower().split()
-    if not parts:
-        return np.empty(0, np.int64)
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    begins = np.concatenate([[0], ends[:-1] + 1])
-    k = min(words, len(parts))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(begins[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(text, words).view(np.int64))
 
 
 def _hashes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             for text in part.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text, words))], names=["hash"])
@@ -66,17 +61,19 @@ def _sets(words: int, hashes: np.ndarray, places: np.ndarray):
     over, under = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            made: list[list] = [[], [], [], []]
+        release()
+        for part in slices(batches, most=1 << 20):
+            made: list[list] = [[], [], [], [], []]
             for text in part.column("text").to_pylist():
-                found = shingles(text, words)
-                n = len(found)
+                every = shingle_hashes(text, words)
+                found = np.unique(every.view(np.int64))
+                n, fp = len(found), fingerprint_of(every)
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 if n and len(hashes):
                     at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                     found = found[np.argsort(np.where(hashes[at] == found, places[at], 0), kind="stable")]
                 head = n - -(-over * n // under) + 1 if n else 0
-                for column, value in zip(made, (digest, n, found[:head], found[head:]), strict=True):
+                for column, value in zip(made, (digest, fp - (fp >> 63 << 64), n, found[:head], found[head:]), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c, type=f.type) for c, f in zip(made, list(SETS)[1:], strict=True)]], schema=SETS)
 
@@ -108,30 +105,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     whole = cut(sets.join(asked, "rep", "left_semi").select("rep", F.concat("head", "tail").alias("hashes")), "candidate-sets")
     one, two = (whole.select(F.col("rep").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     same, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    return cut(pairs.join(one, "a").join(two, "b").where((over + under) * same >= over * total).select("a", "b"), "links")
+    found = cut(pairs.join(one, "a").join(two, "b").where((over + under) * same >= over * total).select("a", "b"), "links")
+    drop(pairs, whole)
+    return found
 
 
 def linked(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id (the smallest doc_id that it reaches over links) of every document."""
     texts = id_and_text(docs, id_col, text_col)
-    rows = cut(texts.mapInArrow(_sets(words, *common_hashes(texts, words)), "doc_id long, digest binary, n long, head array<long>, tail array<long>"), "shingle-sets")
+    rows = cut(texts.mapInArrow(_sets(words, *common_hashes(texts, words)), "doc_id long, digest binary, fp long, n long, head array<long>, tail array<long>"), "shingle-sets")
     reps = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "distinct-sets")
     sets = rows.join(reps, [rows["digest"] == reps["digest"], rows["doc_id"] == reps["rep"]], "left_semi").withColumnRenamed("doc_id", "rep")
+
+    prints = sets.where("n > 0").select("fp", "rep")
+    distinct = cut(prints.groupBy("fp").agg(F.min("rep").alias("rep")), "distinct-fingerprints")
+    same_print = prints.join(distinct.withColumnRenamed("rep", "first"), "fp").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    close = link_forest(distinct, RADIUS).unionByName(same_print).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
     heads = sets.select("rep", "n", F.posexplode("head").alias("at", "hash"))
     first = heads.groupBy("hash").agg(F.min(F.struct("rep", "n", "at")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
     shared = cut(heads.join(first, "hash"), "shared-hashes")
-
     near = _possible(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"))
-    stars = _confirmed(shared.where((F.col("rep") != F.col("first.rep")) & near).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")), sets)
-    joined = cut(components(stars), "joined")
+    stars = shared.where((F.col("rep") != F.col("first.rep")) & near).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
+    found = _confirmed(close.unionByName(stars), sets)
+
+    joined = cut(components(found), "joined")
     left = shared.join(joined, shared["rep"] == joined["node"], "left").select("hash", "rep", "n", "at", F.coalesce("component", "rep").alias("of"))
     left = cut(left, "shared-hashes-joined")
+    drop(shared, joined)
     one, two = left.alias("one"), left.alias("two")
     near = _possible(F.col("one.n"), F.col("one.at"), F.col("two.n"), F.col("two.at"))
     rest = one.join(two, (F.col("one.hash") == F.col("two.hash")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.of") != F.col("two.of")) & near)
     others = _confirmed(rest.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")), sets)
-    found = components(stars.unionByName(others))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    links = components(found.unionByName(others))
+    drop(left, distinct, found, others)
+    named = reps.join(links, reps["rep"] == links["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 
 

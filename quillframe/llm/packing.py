@@ -11,8 +11,9 @@ memory that neither a partition nor a document's group can grow. Every sequence
 a block's tail: its last tokens go to shorter sequences whose sizes are powers of two from 64 on, so
 that a block pads fewer than 64 tokens.
 
-Nulls and empty texts are the end id alone. Ties of length keep the order of rows. Repeated rows are
-packed as often as they come. An empty table gives no pieces. Other columns are not read.
+Nulls and empty texts are the end id alone. Ties of length keep the order of rows; which documents share
+a block, and so which share a sequence, follows the order and the partitions of the rows read. Repeated
+rows are packed as often as they come. An empty table gives no pieces. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from .word_bpe import SLICE, WordBpe
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Tokens of a block at least; the last document may exceed it.
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 1 << 20
 #: The smallest sequence of a tail.
 SMALLEST = 64
 

@@ -8,8 +8,10 @@ Links: two fingerprints at ``radius`` differing bits or fewer. Documents with on
 represented by their smallest id, so copies cost one row. If the 64 bits are cut into
 ``radius + match`` blocks, linked fingerprints agree in ``match`` of them at least; each choice of
 blocks is a table of buckets, and every link lies in some bucket. ``match`` grows with the number of
-distinct fingerprints, which keeps buckets small and loses no link. Buckets above ``HOT`` rows are cut into
-chunks and compared chunk by chunk pair, each pair in its own group, so no group outgrows a task.
+distinct fingerprints, which keeps buckets small and loses no link. A bucket above ``HOT`` rows is refined:
+the bits that its rows need not share are cut into ``radius + 1`` blocks, of which linked fingerprints agree
+in one at least, and each block makes a finer bucket, again and again until none is hot. Fingerprints are
+distinct, so this ends; a hot bucket costs ``radius + 1`` rows a row and round, never a square.
 
 Comparison is bit-sliced: 64 candidates lie in 64 vertical bit planes of a machine word; for a
 query, each plane is inverted or not and added to carry-save bitwise counters, which updates 64
@@ -26,45 +28,59 @@ component of the others, null if there is none. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, id_and_text, slices
+from .common import batch_of, cut, drop, id_and_text, release, slices, written_bytes
 
 SEED = 42
-#: Rows of a group of comparisons at most.
+#: Rows of a bucket at most.
 HOT = 8192
 #: Average rows of a bucket at which the next finer set of tables is taken.
 BUCKET = 256
 #: Rows that a task holds at once, besides a group that is larger.
 HELD = 1 << 16
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+#: Bytes of a written table up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes | None, words: int = 4) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: bytes | None, words: int = 4) -> np.ndarray:
+    """The unsigned hashes of a text's shingles in order, repeats included; none of a text without words."""
     parts = (text or b"").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(begins[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of a text with these hashes."""
+    bits = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        bits += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, words: int = 4) -> int:
+    """The unsigned fingerprint of one text."""
+    return fingerprint_of(shingle_hashes(text, words))
+
+
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             prints = np.array([fingerprint(t, words) for t in part.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints.view(np.int64))], schema=FINGERPRINTS)
@@ -176,8 +192,8 @@ def _linker(radius: int):
     def edges(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         reps = table.column("rep").to_numpy()
-        keys = [table.column(c).to_numpy() for c in ("bucket", "pair")]
-        change = np.concatenate([[0], np.cumsum((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]))])
+        bucket = table.column("bucket").to_numpy()
+        change = np.concatenate([[0], np.cumsum(bucket[1:] != bucket[:-1])])
         a, b = links(table.column("fp").to_numpy().view(np.uint64), change, radius)
         return batch_of(EDGES, reps[a], reps[b])
 
@@ -191,8 +207,8 @@ def _linker(radius: int):
             rows += batch.num_rows
             if rows < HELD:
                 continue
-            bucket, pair = (batch.column(c).to_numpy() for c in ("bucket", "pair"))
-            same = (bucket == bucket[-1]) & (pair == pair[-1])
+            bucket = batch.column("bucket").to_numpy()
+            same = bucket == bucket[-1]
             begin = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
             if begin:  # the last group may go on in the next batch
                 yield edges([*held[:-1], batch.slice(0, begin)])
@@ -203,41 +219,65 @@ def _linker(radius: int):
     return run
 
 
-def tables(distinct: int, radius: int) -> list[list[tuple[int, int]]]:
-    """The tables for so many distinct fingerprints: for each, its blocks as (first bit, bits)."""
+def _blocks(bits: list[int], n: int) -> list[int]:
+    """Masks of n runs, nearly even, of these bits."""
+    at = [len(bits) * k // n for k in range(n + 1)]
+    return [sum(1 << b for b in bits[i:j]) for i, j in zip(at, at[1:], strict=False)]
+
+
+def tables(distinct: int, radius: int) -> list[int]:
+    """The tables for so many distinct fingerprints: for each, the mask of the bits that a bucket's rows share."""
     for match in range(1, 9):
         n = radius + match
-        at = [64 * k // n for k in range(n + 1)]
-        blocks = [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
         if distinct <= BUCKET << (64 * match // n) or match == 8:
             break
-    return [list(c) for c in combinations(blocks, match)]
+    return [sum(c) for c in combinations(_blocks(list(range(64)), n), match)]
+
+
+def finer(mask: int, radius: int) -> list[int]:
+    """The tables that refine a table; none if its rows differ in so few bits that all are linked."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [mask | m for m in _blocks(free, radius + 1)] if len(free) > radius else []
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def link_forest(prints: DataFrame, radius: int = 4) -> DataFrame:
     """prints: fp and rep, one row per distinct fp. Returns pairs (a, b) of rep that connect what is linked, through one or more links."""
-    chosen = tables(prints.count(), radius)
-
-    def key(number: int, blocks: list[tuple[int, int]]):
-        """The table's number and the bits of its blocks, which are 60 bits at most."""
-        value = F.lit(number).cast("long")
-        for first, bits in blocks:
-            value = F.shiftleft(value, bits).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1)))
-        return value
-
-    rows = prints.select("fp", "rep", F.explode(F.array(*[key(k, t) for k, t in enumerate(chosen)])).alias("bucket"))
-    hot = rows.groupBy("bucket").count().where(F.col("count") > HOT).select("bucket", F.ceil(F.col("count") / F.lit(HOT // 2)).alias("chunks"))
-    hot = cut(hot, "hot-buckets")
-    if hot.isEmpty():
-        rows = rows.withColumn("pair", F.lit(0).cast("long"))
-    else:
-        own = F.pmod(F.xxhash64("rep", "bucket"), F.col("chunks"))
-        other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: c != F.col("own")))
-        plain = rows.join(hot, "bucket", "left_anti").withColumn("pair", F.lit(0).cast("long"))
-        split = rows.join(hot, "bucket").withColumn("own", own).withColumn("other", other)
-        rows = plain.unionByName(split.select("fp", "rep", "bucket", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).alias("pair")))
-    placed = rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair")
-    return placed.select("bucket", "pair", "fp", "rep").mapInArrow(_linker(radius), "a long, b long")
+    number = count()
+    masks = {next(number): m for m in tables(prints.count(), radius)}
+
+    def dealt(rows: DataFrame, chosen: Column) -> DataFrame:
+        """A row per table: its number, and the bucket by the bits that the table's mask leaves. Tables that share a hash share a bucket, which costs comparisons only."""
+        rows = rows.select("fp", "rep", F.explode(chosen).alias("t"))
+        return rows.select("fp", "rep", F.col("t.number").alias("number"), F.xxhash64("t.number", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("bucket"))
+
+    def listed(found: dict[int, int]) -> Column:
+        return F.array(*[F.struct(F.lit(k).cast("long").alias("number"), F.lit(_signed(m)).cast("long").alias("mask")) for k, m in found.items()])
+
+    rows, done = dealt(prints, listed(masks)), None
+    while True:
+        hot = cut(rows.groupBy("bucket").count().where(F.col("count") > HOT).select("bucket"), "hot-buckets")
+        if hot.isEmpty():
+            break
+        near = F.broadcast(hot) if written_bytes(hot) <= BROADCAST_BYTES else hot
+        cold, left = rows.join(near, "bucket", "left_anti"), cut(rows.join(near, "bucket", "left_semi"), "hot-rows")
+        parts = {k: {next(number): m for m in finer(masks[k], radius)} for k in sorted(r["number"] for r in left.select("number").distinct().collect())}
+        final = [k for k, found in parts.items() if not found]
+        cold = cold.unionByName(left.where(F.col("number").isin(final))).select("bucket", "fp", "rep") if final else cold.select("bucket", "fp", "rep")
+        done = cold if done is None else done.unionByName(cold)
+        refined = {k: found for k, found in parts.items() if found}
+        if not refined:
+            rows = left.where(F.lit(False))
+            continue
+        masks = {n: m for found in refined.values() for n, m in found.items()}
+        by_number = F.create_map(*[c for k, found in refined.items() for c in (F.lit(k).cast("long"), listed(found))])
+        rows = dealt(left.where(F.col("number").isin(list(refined))), by_number[F.col("number")])
+    rows = rows.select("bucket", "fp", "rep")
+    placed = rows if done is None else done.unionByName(rows)
+    return placed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_linker(radius), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,7 +290,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        after = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(edges)
+        edges = after
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -265,11 +307,3 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: st
     found = components(link_forest(distinct.where("rep is not null"), radius))
     named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = 4, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document whose id names it, with the columns of docs; of rows with that id, all."""
-    found = near_duplicates(docs, radius, words, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-

@@ -10,10 +10,11 @@ The model is fitted on a bounded sample of labelled rows, at most about ``sample
 hash of the id, whose hashed features (never texts) come to the driver. Training is mini-batch
 gradient descent with per-weight step sizes, deterministic by seed. Copies of one text would make its
 words look telling, so of sample rows with the same label and the same min-hash signature one counts.
+Training rows are ordered by id and features, so that repeated ids do not leave the model undetermined.
 
 Null and empty texts have no features and get the logistic of w0 with a cap below 0.5: a text without
-words is not toxic. Rows with a null label are not learned from; a row labelled more than once counts
-each time. Without labels, or with one label only, every score is 0 or the label. Repeated rows give
+words is not toxic. Rows with a null label are not learned from; a row counts once for each label that
+it has. Without labels, or with one label only, every score is 0 or the label. Repeated rows give
 repeated rows, an empty table an empty result. Other columns are not read.
 """
 
@@ -29,17 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, release, slices, small_batches
 
 BITS, FACTORS, SAMPLE_ROWS, CHI_SQUARE = 20, 4, 20_000, 16.0
 WORD = re.compile(r"\w+")
+#: Characters from which on a text's words are never all listed at once.
+LONG = 1 << 18
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
 class Hasher(dict):
     """Buckets of words; remembers at most ``most`` of them, then starts anew."""
 
-    def __init__(self, bits: int, most: int = 500_000):
+    def __init__(self, bits: int, most: int = 200_000):
         super().__init__()
         self.mask, self.most = (1 << bits) - 1, most
 
@@ -51,7 +54,8 @@ class Hasher(dict):
         """The distinct buckets of a whole text, ascending."""
         if len(self) > self.most:
             self.clear()
-        words = set(WORD.findall((text or b"").decode("utf-8", "replace").lower()))
+        plain = (text or b"").decode("utf-8", "replace").lower()
+        words = set(WORD.findall(plain)) if len(plain) < LONG else {m[0] for m in WORD.finditer(plain)}
         return np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
 
 
@@ -164,14 +168,15 @@ def _features(bits: int):
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, bits: int = BITS, factors: int = FACTORS, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """A machine from the rows of docs that labels (id_col, label_col) marks. The driver holds sample_rows rows of hashed features."""
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     total = marks.count()
     if total > sample_rows:
         marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (sample_rows << 30) // total)
-    rows = id_and_text(docs, id_col, text_col).join(marks, "id").mapInArrow(_features(bits), "id long, label int, features binary")
-    got = rows.orderBy("id").toArrow()
-    found = [np.frombuffer(b, "<u4").astype(np.int64) for b in got.column("features").to_pylist()]
-    return train(found, np.array(got.column("label").to_pylist(), np.int64), bits, factors)
+    # About sample_rows rows of two numbers, whatever the tables' size: small enough to broadcast, so no text is shuffled.
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(marks), "id").mapInArrow(_features(bits), "id long, label int, features binary")
+    got = sorted(zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True))
+    found = [np.frombuffer(b, "<u4").astype(np.int64) for _, _, b in got]
+    return train(found, np.array([y for _, y, _ in got], np.int64), bits, factors)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,6 +184,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = sent.value
         hasher = Hasher(m.bits)
         for part in slices(batches):
@@ -189,15 +195,17 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 
 def keep_clean(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the machine does not take for toxic, with the columns of docs. A row is scored where it stands: nothing is joined."""
+    """The rows of docs that the machine does not take for toxic, with the columns of docs. A row is scored where it stands: nothing is joined, and only the text goes to Python."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         m = sent.value
         hasher = Hasher(m.bits)
-        for part in slices(batches, "_text"):
-            got = m.score([hasher.features(t) for t in part.column("_text").to_pylist()])
-            yield part.select(names).filter(pa.array(got < 0.5))
+        for texts in batches:
+            found = [m.score([hasher.features(t) for t in part.column("text").to_pylist()]) < 0.5 for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))]
+            yield pa.array(np.concatenate([*found, np.empty(0, bool)]))
 
-    return docs.withColumn("_text", F.col(text_col).cast("string").cast("binary")).mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col(text_col).cast("string").cast("binary")))

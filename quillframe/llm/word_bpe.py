@@ -17,40 +17,51 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept
+
 # Fixed value: what the file's pre-tokenizer matches in lower-case ASCII.
 ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: Bytes of text that are encoded at once.
-SLICE = 8 << 20
-
-_CODERS: dict[str, WordBpe] = {}
+SLICE = 4 << 20
 
 
 class WordBpe:
     """encode() gives the ids of each text as little-endian unsigned 32-bit integers. Null counts as empty.
 
-    About ``most`` pieces and as many pre-tokens are remembered; beyond that either memory starts anew,
-    which changes no result.
+    About ``most`` pieces and as many pre-tokens are remembered, some 200 bytes each. Beyond that the pieces met
+    in one slice of texts only and the older pre-tokens are forgotten, which changes no result.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.pre: dict[str, bytes] = {}
-        self._forget()
-
-    def _forget(self) -> None:
+        self.pre_before: dict[str, bytes] = {}
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.empty(1 << 16, "<u4"), 0
-        self.begin, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.begin, self.size, self.met = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the pieces met in several slices, the most often met ones if they are still too many."""
+        n = len(self.known)
+        keep = self.met[:n] > 1
+        if keep.sum() > self.most // 2:
+            keep &= self.met[:n] > np.partition(self.met[:n], n - self.most // 2)[n - self.most // 2]
+        places = np.flatnonzero(keep)
+        number = np.cumsum(keep) - 1
+        self.known = {p: int(number[k]) for p, k in self.known.items() if keep[k]}
+        size = self.size[places]
+        at = np.repeat(self.begin[places] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        self.flat, self.used = self.flat[at], len(at)
+        self.begin, self.size, self.met = np.cumsum(size) - size, size, self.met[places] // 2
 
     @classmethod
     def of(cls, path: str) -> WordBpe:
         """One coder for all tasks of a Python worker."""
-        if path not in _CODERS:
-            _CODERS[path] = cls(path)
-        return _CODERS[path]
+        return kept(f"word-bpe {path}", lambda: cls(path))
 
     def _coded(self, words: list[str]) -> list[bytes]:
         found: list[bytes] = []
@@ -68,22 +79,25 @@ class WordBpe:
         lowered = [words[k].lower() for k in rest]
         plain = {w for w in lowered if w.isalpha()}
         several = {k: ASCII_PRE_TOKEN.findall(w) for k, w in zip(rest, lowered, strict=True) if w not in plain}
-        pre = self.pre
-        if len(pre) > self.most:
-            pre.clear()
-        new = [w for w in plain.union(*several.values()) if w not in pre]
+        if len(self.pre) > self.most // 2:
+            self.pre, self.pre_before = {}, self.pre
+        pre, before = self.pre, self.pre_before
+        wanted = [w for w in plain.union(*several.values()) if w not in pre]
+        pre.update((w, before[w]) for w in wanted if w in before)
+        new = [w for w in wanted if w not in pre]
         pre.update(zip(new, self._coded(new), strict=True))
         for k, w in zip(rest, lowered, strict=True):
             ids[k] = pre[w] if w in plain else b"".join(map(pre.__getitem__, several[k]))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         n, total = len(self.known), int(sizes.sum())
         if n + len(ids) > len(self.begin):
-            self.begin, self.size = (np.concatenate([a[:n], np.empty(n + 2 * len(ids), np.int64)]) for a in (self.begin, self.size))
+            self.begin, self.size, self.met = (np.concatenate([a[:n], np.zeros(n // 4 + 2 * len(ids), np.int64)]) for a in (self.begin, self.size, self.met))
         if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used + 2 * total, "<u4")])
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(self.used // 4 + 2 * total, "<u4")])
         self.flat[self.used : self.used + total] = np.frombuffer(b"".join(ids), "<u4")
         self.begin[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(ids)] = sizes
+        self.met[n : n + len(ids)] = 0
         self.used += total
         self.known.update(zip(pieces, range(n, n + len(ids)), strict=True))
 
@@ -113,6 +127,7 @@ class WordBpe:
             self._learn(missing)
             gc.enable()
         entry = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        self.met[entry] += 1
         at = entry[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.size[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
