@@ -11,7 +11,8 @@ hashes in one order, two linked sets share a hash among the first fifth (and one
 first, which keeps the candidates few; which hashes are common is estimated on a sample, and a poor estimate
 costs work, never a link. The second step takes each set with the smallest id at a shared hash; the last
 compares the others only where the links found have not already joined their groups, so a large group of near
-copies does not yield all its pairs. Equal sets are represented by their smallest id.
+copies does not yield all its pairs. Equal sets are represented by their smallest id. Only heads are kept and
+moved; the whole sets are made again, for the candidates alone.
 
 Nulls and empty texts are copies of each other. Repeated rows give repeated rows, and rows of one id are
 one document, also rows of a null id: they stay if one of them has no other in its group. An empty table
@@ -28,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, id_and_text, release, slices
-from .simhash import components, fingerprint_of, link_forest, shingle_hashes
+from .common import batch_of, cut, drop, id_and_text, release, slices, written_bytes
+from .simhash import BROADCAST_BYTES, components, fingerprint_of, link_forest, shingle_hashes
 
 #: Bits in which fingerprints of the first step's candidates differ at most.
 RADIUS = 4
@@ -38,7 +39,8 @@ LEAST = (4, 5)
 #: Documents of the sample for common hashes, in expectation, and the most hashes that are called common.
 SAMPLE_ROWS, COMMON = 10_000, 200_000
 LONGS = pa.list_(pa.int64())
-SETS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("head", LONGS), ("tail", LONGS)])
+HEADS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("head", LONGS)])
+WHOLE = pa.schema([("rep", pa.int64()), ("digest", pa.binary()), ("hashes", LONGS)])
 
 
 def shingles(text: bytes | None, words: int = 5) -> np.ndarray:
@@ -56,14 +58,14 @@ def _hashes(words: int):
     return run
 
 
-def _sets(words: int, hashes: np.ndarray, places: np.ndarray):
+def _heads(words: int, hashes: np.ndarray, places: np.ndarray):
     """hashes: the common ones, sorted; places: where each stands in the order, from 1."""
     over, under = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for part in slices(batches, most=1 << 20):
-            made: list[list] = [[], [], [], [], []]
+            made: list[list] = [[], [], [], []]
             for text in part.column("text").to_pylist():
                 every = shingle_hashes(text, words)
                 found = np.unique(every.view(np.int64))
@@ -73,9 +75,19 @@ def _sets(words: int, hashes: np.ndarray, places: np.ndarray):
                     at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                     found = found[np.argsort(np.where(hashes[at] == found, places[at], 0), kind="stable")]
                 head = n - -(-over * n // under) + 1 if n else 0
-                for column, value in zip(made, (digest, fp - (fp >> 63 << 64), n, found[:head], found[head:]), strict=True):
+                for column, value in zip(made, (digest, fp - (fp >> 63 << 64), n, found[:head]), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c, type=f.type) for c, f in zip(made, list(SETS)[1:], strict=True)]], schema=SETS)
+            yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c, type=f.type) for c, f in zip(made, list(HEADS)[1:], strict=True)]], schema=HEADS)
+
+    return run
+
+
+def _whole(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for part in slices(batches, most=1 << 20):
+            found = [shingles(t, words) for t in part.column("text").to_pylist()]
+            yield batch_of(WHOLE, part.column("id"), [xxhash.xxh3_128_digest(h.tobytes()) for h in found], found)
 
     return run
 
@@ -97,23 +109,25 @@ def _possible(n: Column, at: Column, m: Column, to: Column) -> Column:
     return (over + under) * F.least(n - at, m - to) >= over * (n + m)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
     over, under = LEAST
     pairs = cut(pairs.select("a", "b").distinct(), "candidate-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    whole = cut(sets.join(asked, "rep", "left_semi").select("rep", F.concat("head", "tail").alias("hashes")), "candidate-sets")
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "candidates")
+    few = F.broadcast(asked) if written_bytes(asked) <= BROADCAST_BYTES else asked
+    whole = texts.join(few, texts["id"] == asked["rep"], "left_semi").mapInArrow(_whole(words), "rep long, digest binary, hashes array<long>")
+    whole = cut(whole.groupBy("rep", "digest").agg(F.first("hashes").alias("hashes")).drop("digest"), "candidate-sets")
     one, two = (whole.select(F.col("rep").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "ab")
     same, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    found = cut(pairs.join(one, "a").join(two, "b").where((over + under) * same >= over * total).select("a", "b"), "links")
-    drop(pairs, whole)
+    found = cut(pairs.join(one, "a").join(two, "b").where((over + under) * same >= over * total).select("a", "b").distinct(), "links")
+    drop(pairs, asked, whole)
     return found
 
 
 def linked(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id (the smallest doc_id that it reaches over links) of every document."""
     texts = id_and_text(docs, id_col, text_col)
-    rows = cut(texts.mapInArrow(_sets(words, *common_hashes(texts, words)), "doc_id long, digest binary, fp long, n long, head array<long>, tail array<long>"), "shingle-sets")
+    rows = cut(texts.mapInArrow(_heads(words, *common_hashes(texts, words)), "doc_id long, digest binary, fp long, n long, head array<long>"), "shingle-heads")
     reps = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "distinct-sets")
     sets = rows.join(reps, [rows["digest"] == reps["digest"], rows["doc_id"] == reps["rep"]], "left_semi").withColumnRenamed("doc_id", "rep")
 
@@ -127,7 +141,7 @@ def linked(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     shared = cut(heads.join(first, "hash"), "shared-hashes")
     near = _possible(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"))
     stars = shared.where((F.col("rep") != F.col("first.rep")) & near).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
-    found = _confirmed(close.unionByName(stars), sets)
+    found = _confirmed(close.unionByName(stars), texts, words)
 
     joined = cut(components(found), "joined")
     left = shared.join(joined, shared["rep"] == joined["node"], "left").select("hash", "rep", "n", "at", F.coalesce("component", "rep").alias("of"))
@@ -136,7 +150,7 @@ def linked(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     one, two = left.alias("one"), left.alias("two")
     near = _possible(F.col("one.n"), F.col("one.at"), F.col("two.n"), F.col("two.at"))
     rest = one.join(two, (F.col("one.hash") == F.col("two.hash")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.of") != F.col("two.of")) & near)
-    others = _confirmed(rest.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")), sets)
+    others = _confirmed(rest.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")), texts, words)
     links = components(found.unionByName(others))
     drop(left, distinct, found, others)
     named = reps.join(links, reps["rep"] == links["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
