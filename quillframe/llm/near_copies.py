@@ -12,7 +12,8 @@ first, which keeps the candidates few; which hashes are common is estimated on a
 costs work, never a link. The second step takes each set with the smallest id at a shared hash; the last
 compares the others only where the links found have not already joined their groups, so a large group of near
 copies does not yield all its pairs. Equal sets are represented by their smallest id. Only heads are kept and
-moved; the whole sets are made again, for the candidates alone.
+moved. Candidates are first held against a histogram of each set's hashes: two sets share at most the sum of the
+smaller counts, which rules out most pairs that share a passage. Whole sets are made again for the others alone.
 
 Nulls and empty texts are copies of each other. Repeated rows give repeated rows, and rows of one id are
 one document, also rows of a null id: they stay if one of them has no other in its group. An empty table
@@ -38,8 +39,10 @@ RADIUS = 4
 LEAST = (4, 5)
 #: Documents of the sample for common hashes, in expectation, and the most hashes that are called common.
 SAMPLE_ROWS, COMMON = 10_000, 200_000
+#: A count of this in a histogram stands for any larger one.
+FULL = 255
 LONGS = pa.list_(pa.int64())
-HEADS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("head", LONGS)])
+HEADS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("fp", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("head", LONGS)])
 WHOLE = pa.schema([("rep", pa.int64()), ("digest", pa.binary()), ("hashes", LONGS)])
 
 
@@ -65,17 +68,18 @@ def _heads(words: int, hashes: np.ndarray, places: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for part in slices(batches, most=1 << 20):
-            made: list[list] = [[], [], [], []]
+            made: list[list] = [[], [], [], [], []]
             for text in part.column("text").to_pylist():
                 every = shingle_hashes(text, words)
                 found = np.unique(every.view(np.int64))
                 n, fp = len(found), fingerprint_of(every)
                 digest = xxhash.xxh3_128_digest(found.tobytes())
+                counts = np.minimum(np.bincount(found.view(np.uint64) >> np.uint64(56), minlength=256), FULL).astype(np.uint8).tobytes()
                 if n and len(hashes):
                     at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
                     found = found[np.argsort(np.where(hashes[at] == found, places[at], 0), kind="stable")]
                 head = n - -(-over * n // under) + 1 if n else 0
-                for column, value in zip(made, (digest, fp - (fp >> 63 << 64), n, found[:head]), strict=True):
+                for column, value in zip(made, (digest, fp - (fp >> 63 << 64), n, counts, found[:head]), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c, type=f.type) for c, f in zip(made, list(HEADS)[1:], strict=True)]], schema=HEADS)
 
@@ -109,10 +113,26 @@ def _possible(n: Column, at: Column, m: Column, to: Column) -> Column:
     return (over + under) * F.least(n - at, m - to) >= over * (n + m)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose histograms allow a link; a full count on both sides allows it."""
+    release()
+    over, under = LEAST
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("of_a", "of_b"))
+        total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        least = np.minimum(one, two)
+        may = ((over + under) * least.sum(axis=1, dtype=np.int64) >= over * total) | (least == FULL).any(axis=1)
+        yield batch.select(["a", "b"]).filter(pa.array(may))
+
+
+def _confirmed(pairs: DataFrame, histograms: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
     over, under = LEAST
-    pairs = cut(pairs.select("a", "b").distinct(), "candidate-pairs")
+    one, two = (histograms.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"of_{c}")) for c in "ab")
+    sized = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").where(under * F.least("n_a", "n_b") >= over * F.greatest("n_a", "n_b"))
+    pairs = cut(sized.mapInArrow(_alike, "a long, b long").distinct(), "candidate-pairs")
     asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "candidates")
     few = F.broadcast(asked) if written_bytes(asked) <= BROADCAST_BYTES else asked
     whole = texts.join(few, texts["id"] == asked["rep"], "left_semi").mapInArrow(_whole(words), "rep long, digest binary, hashes array<long>")
@@ -127,21 +147,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 def linked(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id (the smallest doc_id that it reaches over links) of every document."""
     texts = id_and_text(docs, id_col, text_col)
-    rows = cut(texts.mapInArrow(_heads(words, *common_hashes(texts, words)), "doc_id long, digest binary, fp long, n long, head array<long>"), "shingle-heads")
+    rows = cut(texts.mapInArrow(_heads(words, *common_hashes(texts, words)), "doc_id long, digest binary, fp long, n long, counts binary, head array<long>"), "shingle-heads")
     reps = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "distinct-sets")
     sets = rows.join(reps, [rows["digest"] == reps["digest"], rows["doc_id"] == reps["rep"]], "left_semi").withColumnRenamed("doc_id", "rep")
 
-    prints = sets.where("n > 0").select("fp", "rep")
+    histograms = cut(sets.where("n > 0").select("rep", "fp", "n", "counts"), "histograms")
+    prints = histograms.select("fp", "rep")
     distinct = cut(prints.groupBy("fp").agg(F.min("rep").alias("rep")), "distinct-fingerprints")
     same_print = prints.join(distinct.withColumnRenamed("rep", "first"), "fp").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     close = link_forest(distinct, RADIUS).unionByName(same_print).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     heads = sets.select("rep", "n", F.posexplode("head").alias("at", "hash"))
-    first = heads.groupBy("hash").agg(F.min(F.struct("rep", "n", "at")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    first = heads.groupBy("hash").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").drop("last")
     shared = cut(heads.join(first, "hash"), "shared-hashes")
-    near = _possible(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at"))
-    stars = shared.where((F.col("rep") != F.col("first.rep")) & near).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))
-    found = _confirmed(close.unionByName(stars), texts, words)
+    stars = shared.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    found = _confirmed(close.unionByName(stars), histograms, texts, words)
 
     joined = cut(components(found), "joined")
     left = shared.join(joined, shared["rep"] == joined["node"], "left").select("hash", "rep", "n", "at", F.coalesce("component", "rep").alias("of"))
@@ -150,9 +170,9 @@ def linked(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     one, two = left.alias("one"), left.alias("two")
     near = _possible(F.col("one.n"), F.col("one.at"), F.col("two.n"), F.col("two.at"))
     rest = one.join(two, (F.col("one.hash") == F.col("two.hash")) & (F.col("one.rep") < F.col("two.rep")) & (F.col("one.of") != F.col("two.of")) & near)
-    others = _confirmed(rest.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")), texts, words)
+    others = _confirmed(rest.select(F.col("one.rep").alias("a"), F.col("two.rep").alias("b")), histograms, texts, words)
     links = components(found.unionByName(others))
-    drop(left, distinct, found, others)
+    drop(left, distinct, histograms, found, others)
     named = reps.join(links, reps["rep"] == links["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 
