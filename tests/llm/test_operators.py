@@ -340,33 +340,56 @@ def test_url_filter_as_of(spark):
     assert url_filter.evaluate(captures.limit(0), entries).count() == 0 and url_filter.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
 
 
-def test_top_k_is_exact(spark):
+def plain_top(rows: list[tuple], is_query, k: int = 5) -> list[tuple]:
+    """query_id, rank, vec_id and true score of the k best, in whole numbers."""
+    whole = lambda x: int(np.floor(256 * x)) if abs(x) < 1 << 53 else int(x) * 256
+    used = [(i, [whole(x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, a in used:
+        if is_query(q):
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in used if i != q)[:k]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("first", [16, 2])
+def test_top_k_is_exact(spark, monkeypatch, first):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(topk, "FIRST", first)
     r = np.random.default_rng(1)
     vectors = [(int(i), [float(x) for x in np.round(r.normal(0, 0.3, 8), 1)]) for i in range(400)]
-    rows = [*vectors, (400, None), (450, [1.0, None]), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (None, [1.0] * 8), (600, []), (650, [0.5, 0.5]), (7, [0.1] * 8)]
+    rows = [*vectors, (400, None), (450, [1.0, None]), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (None, [1.0] * 8), (600, []), (650, [0.5, 0.5]), (7, [0.1] * 8), (700, [0.3] * 9), (50, [0.2] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     found = topk.top_k(df, F.pmod("id", F.lit(50)) == 0, k=5, shard_rows=100, block_bytes=300)
-    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in found.collect())
-    used = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    want = []
-    for q, a in used:
-        if q % 50 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in used if i != q)[:5]
-            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    assert got == sorted(want)
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in found.collect()) == plain_top(rows, lambda i: i % 50 == 0)
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_very_large_numbers(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [-1e30, 1.0]), (50, [1.0, 1.0]), (1, [0.5, 2.0]), (2, [1e30, 0.0]), (3, [1e300, 1e300]), (100, [-1e300, 3.0]), (4, [2e30, 0.0]), (5, [-2e30, 0.5]), (150, [3e12, -7e12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = [(q, n, i, cut(s)) for q, n, i, s in plain_top(rows, lambda i: i % 50 == 0)]
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(df, F.pmod("id", F.lit(50)) == 0).collect()) == want
+    keys = [topk._order_key(s) if not -(1 << 63) <= s < 1 << 63 else topk.PLAIN for s in (-(10**50), -(10**30) - 1, -(10**30), 5, 10**30, 10**30 + 1, 10**50)]
+    assert keys == sorted(keys)
+
+
 def test_ball_tree_prunes():
     r = np.random.default_rng(2)
     centres = r.normal(0, 300, (40, 16))
     vectors = np.concatenate([c + r.normal(0, 5, (100, 16)) for c in centres]).astype(np.int64)
-    tree = topk.BallTree(np.arange(len(vectors)), vectors)
-    for _ in tree.search(np.array([-1]), vectors[:1], 5, np.array([-(1 << 63)])):
-        pass
-    assert tree.visited < len(vectors) / 4
+    tree, best = topk.BallTree(np.arange(len(vectors)), vectors), topk.Best(1, 5)
+    tree.search(np.array([-1]), vectors[:1], best, np.array([topk.LEAST]))
+    scores = vectors @ vectors[0]
+    assert tree.visited < len(vectors) / 4 and best.ids[0].tolist() == np.lexsort((np.arange(len(vectors)), -scores))[:5].tolist()
+    # A kth score from elsewhere prunes further.
+    again = topk.BallTree(np.arange(len(vectors)), vectors)
+    again.search(np.array([-1]), vectors[:1], topk.Best(1, 5), np.array([int(scores.max()) + 1]))
+    assert again.visited <= tree.visited
 
 
 def plain_groups(rows: list[tuple[int, str | None]]) -> dict[int, int]:
