@@ -122,6 +122,12 @@ def unpacked(df: DataFrame, name: str = "row", but: tuple[str, ...] = ()) -> lis
     return [F.col(name)[c].alias(c) for c in df.columns if c not in but]
 
 
+def pieces(rows: DataFrame, size: int, bytes_col: str = "text") -> int:
+    """The number of tasks that deal the column in parts of about ``size`` bytes; on small tables as many as run at once."""
+    total = rows.agg(F.sum(F.octet_length(bytes_col))).first()[0] or 0
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // size))
+
+
 def slices(batches: Iterator[pa.RecordBatch], bytes_col: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``most`` bytes of the column at most, a longer single value alone."""
     for batch in batches:

@@ -2,13 +2,14 @@
 
 A shard file is a run of zstandard frames, each with its own content checksum, whose joined contents
 are the shard's ids as little-endian unsigned 32-bit integers; then a skippable frame that holds the
-document index (ids and token counts); then a skippable frame with the seek table of the public
+document index (number of documents, ids, token counts, and a byte each that marks a null id); then a skippable frame with the seek table of the public
 "zstd seekable format": compressed size, size and XXH64 checksum (low 32 bits) of each frame, the
 number of frames, a descriptor and a magic number. Any zstandard decoder reads the whole file as
 plain ids; a reader of some documents decompresses only the frames that hold them.
 
-Documents lie in ascending id order over all shards, ties in order of the text's hash. Nulls and
-empty texts are the end id alone; a null id comes first. Repeated rows are written as often as they
+Documents lie in ascending id order over all shards, ties in order of the text's hash, then of the rows
+read, so that even rows repeated without bound are dealt over shards. The number of shards follows the
+bytes of text. Nulls and empty texts are the end id alone; a null id comes first. Repeated rows are written as often as they
 come. An empty table gives no shard or empty ones. Other columns are not read.
 
 Each task writes a file named by itself and its attempt and reports it; only reported files count,
@@ -18,7 +19,7 @@ so a lost executor or a second attempt leaves nothing that is read.
 from __future__ import annotations
 
 import struct
-import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, id_and_text, slices
+from .common import batch_of, id_and_text, pieces, slices
 from .word_bpe import SLICE, WordBpe
 
 # Fixed values of the zstandard seekable format.
@@ -41,6 +42,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 WITH_CHECKSUMS = 0x80
 #: Bytes of ids in a frame.
 FRAME_BYTES = 256 << 10
+#: Bytes of text of a shard, on average.
+SHARD_BYTES = 64 << 20
 
 MANIFEST = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64())])
 MANIFEST_DDL = "shard long, file string, n_docs long, n_tokens long, first_id long"
@@ -58,17 +61,17 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class ShardWriter:
-    """Writes frames as ids come; memory holds a frame and the index (12 bytes a document)."""
+    """Writes frames as ids come; memory holds a frame and the index (13 bytes a document)."""
 
     def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = 3):
         self.out, self.frame_bytes = out, frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.buffer, self.held, self.table = [], 0, []
-        self.doc_ids: list[int] = []
-        self.counts: list[int] = []
+        self.doc_ids, self.counts, self.nulls = array("q"), array("q"), bytearray()
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.doc_ids.append(-(1 << 63) if doc_id is None else doc_id)
+        self.doc_ids.append(doc_id or 0)
+        self.nulls.append(doc_id is None)
         self.counts.append(len(ids) // 4)
         self.buffer.append(ids)
         self.held += len(ids)
@@ -87,7 +90,7 @@ class ShardWriter:
     def close(self) -> None:
         if self.held:
             self._frame(b"".join(self.buffer))
-        index = self.zstd.compress(np.array(self.doc_ids, "<i8").tobytes() + np.array(self.counts, "<u4").tobytes())
+        index = self.zstd.compress(struct.pack("<Q", len(self.counts)) + np.array(self.doc_ids, "<i8").tobytes() + np.array(self.counts, "<u4").tobytes() + bytes(self.nulls))
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index)
         self.table.append((len(index) + 8, 0, 0))
         seek = b"".join(struct.pack("<III", *t) for t in self.table) + struct.pack("<IBI", len(self.table), WITH_CHECKSUMS, SEEKABLE_MAGIC)
@@ -107,8 +110,9 @@ class ShardReader:
         self.sizes, self.checks = table[:-1, 1], table[:-1, 2]
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         index = self.zstd.decompress(self._at(int(self.begin[n - 1]) + 8, int(table[-1, 0]) - 8))
-        docs = len(index) // 12
-        self.doc_ids, self.counts = np.frombuffer(index, "<i8", docs), np.frombuffer(index, "<u4", docs, 8 * docs).astype(np.int64)
+        docs = struct.unpack_from("<Q", index)[0]
+        self.doc_ids, self.counts = np.frombuffer(index, "<i8", docs, 8), np.frombuffer(index, "<u4", docs, 8 + 8 * docs).astype(np.int64)
+        self.nulls = np.frombuffer(index, np.bool_, docs, 8 + 12 * docs)
         self.starts = np.cumsum(self.counts) - self.counts
         self.decompressed = 0
         self._last: tuple[int, bytes] = (-1, b"")
@@ -164,12 +168,12 @@ def _writer(path: str, end_id: int, out_dir: str, frame_bytes: int):
 def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int = 1, shards: int | None = None, frame_bytes: int = FRAME_BYTES, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Writes the shards to out_dir and returns the manifest, a row per shard in order, with ``start``, the ids in the shards before it.
 
-    The manifest has as many rows as the range exchange has partitions, whatever the number of documents.
+    The manifest has as many rows as the range exchange has partitions: one per SHARD_BYTES of text, unless shards says otherwise.
     """
-    spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = id_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    placed = rows.repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    rows = id_and_text(docs, id_col, text_col)
+    n = shards or pieces(rows, SHARD_BYTES)
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    placed = rows.repartitionByRange(n, "id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "text")
     found = sorted(placed.mapInArrow(_writer(tokenizer_path, end_id, out_dir, frame_bytes), MANIFEST_DDL).collect(), key=lambda r: r.shard)
     before = [0, *accumulate(r.n_tokens for r in found)]
     return [{"shard": k, "file": r.file, "n_docs": r.n_docs, "n_tokens": r.n_tokens, "start": b} for k, (r, b) in enumerate(zip(found, before, strict=False))]
@@ -184,13 +188,12 @@ def _reader(out_dir: str, wanted: frozenset[int] | None):
                 reader = ShardReader(source, source.size())
                 rows: Iterable[int] = range(len(reader.counts))
                 if wanted is not None:
-                    rows = np.flatnonzero(np.isin(reader.doc_ids, list(wanted))).tolist()
+                    rows = np.flatnonzero(np.isin(reader.doc_ids, list(wanted)) & ~reader.nulls).tolist()
                 held: list[tuple] = []
                 size = 0
                 for r in rows:
                     ids = reader.ids(r)
-                    i = int(reader.doc_ids[r])
-                    held.append((None if i == -(1 << 63) else i, start + int(reader.starts[r]), len(ids) // 4, ids))
+                    held.append((None if reader.nulls[r] else int(reader.doc_ids[r]), start + int(reader.starts[r]), len(ids) // 4, ids))
                     size += len(ids)
                     if size > 8 << 20:
                         yield batch_of(READ, *zip(*held, strict=True))
@@ -212,7 +215,3 @@ def read_token_files(spark: SparkSession, out_dir: str, manifest: list[dict], do
 def with_crc32(read: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of what read_token_files returns."""
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
