@@ -5,11 +5,16 @@ taken in chunks of about ``CHUNK_BYTES`` of text. A chunk's pre-tokens become a
 distinct words and, document by document, positions in that dictionary. Only distinct words move:
 each chunk sends its words, dealt by hash into buckets, one packed row per bucket; the task of a
 bucket encodes each distinct word of all chunks once and sends the ids back; a chunk's dictionary
-then has ids, which replace the positions. Decoding looks each id up in the token-byte table.
+then has ids, which replace the positions.
 
 The chunks are written to the shared folder before they are used twice, so both uses see the same
-dictionary, whatever is recomputed. A bucket's task remembers at most ``most`` words at once, so
-that no bucket outgrows it. Numbers travel compressed.
+dictionary, whatever is recomputed. Buckets follow the bytes of text, so that the words of one fit the
+``most`` words that its task remembers; beyond that it forgets and encodes some word again. The join
+of chunks with their ids has a partition per ``JOIN_BYTES`` of chunks. Numbers travel compressed.
+
+Decoding joins the ids with the token-byte table by id. The vocabulary bounds that table, so the join
+is a map-side one: each task holds the table as an Arrow column and takes its rows in the order of the
+ids; the values that result are the texts, end to end.
 
 Null counts as empty: no ids, and the SHA-256 of nothing. Repeated rows give repeated rows, an empty
 table an empty result. Other columns are not read.
@@ -31,9 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, id_and_text, slices
+from .common import batch_of, cut, id_and_text, pieces, release, slices, written_bytes
 
 CHUNK_BYTES = 48 << 20
+#: Bytes of text for each bucket of words, and of written chunks for each task of the join.
+BUCKET_BYTES, JOIN_BYTES = 4 << 30, 64 << 20
 CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("words", pa.list_(pa.binary())), ("numbers", pa.list_(pa.binary()))])
 CHUNKS_DDL = "chunk long, doc_ids binary, nulls binary, counts binary, places binary, words array<binary>, numbers array<binary>"
 CODED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
@@ -148,6 +155,7 @@ def _chunker(pattern: str, buckets: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        release()
         find, number = regex.compile(pattern).findall, count(TaskContext.get().partitionId() << 32)
 
         def chunk(ids: list, counts: list[int], places: list[np.ndarray], seen: dict[str, int]) -> pa.RecordBatch:
@@ -243,27 +251,48 @@ def _joiner():
 
 def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES, most: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each row."""
-    spark = docs.sparkSession
+    texts = id_and_text(docs, id_col, text_col)
     if buckets is None:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    chunks = cut(id_and_text(docs, id_col, text_col).mapInArrow(_chunker(pattern, buckets, chunk_bytes), CHUNKS_DDL), "bpe-chunks")
+        buckets = max(8, pieces(texts, BUCKET_BYTES))
+    chunks = cut(texts.mapInArrow(_chunker(pattern, buckets, chunk_bytes), CHUNKS_DDL), "bpe-chunks")
+    joins = max(texts.sparkSession.sparkContext.defaultParallelism, -(-written_bytes(chunks) // JOIN_BYTES))
     sent = chunks.select("chunk", F.posexplode("words").alias("bucket", "words"))
     coded = sent.repartition(buckets, "bucket").mapInArrow(_encoder(path, pattern, most), CODED_DDL)
-    parts = coded.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("parts"))
-    joined = chunks.select("chunk", "doc_ids", "nulls", "counts", "places", "numbers").join(parts, "chunk").drop("chunk")
+    parts = coded.repartition(joins, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sizes", "ids")).alias("parts"))
+    joined = chunks.select("chunk", "doc_ids", "nulls", "counts", "places", "numbers").repartition(joins, "chunk").join(parts, "chunk").drop("chunk")
     return joined.mapInArrow(_joiner(), ENCODED_DDL)
 
 
+def token_bytes(path: str) -> pa.Array:
+    """The token-byte table: row n holds the bytes of id n, null where the file has none."""
+    table = ranks(path)
+    rows: list[bytes | None] = [None] * (max(table.values()) + 1)
+    for word, rank in table.items():
+        rows[rank] = word
+    return pa.array(rows, pa.binary())
+
+
+def join_bytes(table: pa.Array, ids: list[bytes | None]) -> list[bytes]:
+    """The bytes of texts whose ids are little-endian unsigned 32-bit integers; an id that the table lacks is an error."""
+    found: list[bytes] = []
+    for a in range(0, len(ids), 64):
+        part = [x or b"" for x in ids[a : a + 64]]
+        taken = table.take(pa.array(np.frombuffer(b"".join(part), "<u4")))
+        if taken.null_count:
+            raise ValueError("an id that the vocabulary does not have")
+        ends = np.frombuffer(taken.buffers()[1], "<i4", len(taken) + 1) if len(taken) else np.zeros(1, "<i4")
+        data = taken.buffers()[2].to_pybytes() if len(taken) else b""
+        cuts = ends[np.concatenate([[0], np.cumsum([len(x) // 4 for x in part])])].tolist()
+        found += [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+    return found
+
+
 def _digester(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks(path)
-        token_bytes = [b""] * (max(table.values()) + 1)
-        for word, rank in table.items():
-            token_bytes[rank] = word
-        get = token_bytes.__getitem__
+        table = token_bytes(path)
         for part in slices(batches, "ids"):
             ids = part.column("ids").to_pylist()
-            decoded = [hashlib.sha256(b"".join(map(get, np.frombuffer(x, "<u4").tolist()))).hexdigest() for x in ids]
+            decoded = [hashlib.sha256(x).hexdigest() for x in join_bytes(table, ids)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_tokens"), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(decoded)], schema=DIGESTS)
 
     return run
@@ -276,15 +305,13 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
 
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_bytes = {rank: word for word, rank in ranks(path).items()}
+        table = token_bytes(path)
         for part in slices(batches, "ids"):
-            texts = [b"".join(map(token_bytes.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "decoded"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(join_bytes(table, part.column("ids").to_pylist()), pa.binary())], ["doc_id", "decoded"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and decoded (bytes) of rows with doc_id and ids, by the token-byte table, whose size the vocabulary bounds."""
+    """doc_id and decoded (bytes) of rows with doc_id and ids: a join with the token-byte table, whose size the vocabulary bounds."""
     return encoded.select("doc_id", "ids").mapInArrow(_decoder(path), "doc_id long, decoded binary")
-
