@@ -6,9 +6,9 @@ language is the sum over its n-grams of the difference of ranks, ``top`` for an
 language's profile lacks. The nearest language wins, ties go to the smaller name. The score is 1
 minus the distance's share of the largest possible one.
 
-Training takes a sample of about ``per_language`` rows of each language, picked by a hash of the id,
-and counts the n-grams of their whole texts on the executors; only the profiles, ``top`` rows a
-language, come to the driver.
+Training takes the ``MOST_LANGUAGES`` most frequent languages and of each a sample of about ``per_language``
+rows, picked by a hash of the id, and counts the n-grams of their whole texts on the executors; only the
+profiles, ``top`` rows a language, come to the driver.
 
 Letters are what Unicode calls alphabetic, lower-cased; anything else ends a word. A null text or one
 without letters is ``und`` with score 0, as is every text where no language could be learned. Rows
@@ -24,13 +24,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices
+from .common import id_and_text, release, slices, small_batches
 
 TOP = 400
 PER_LANGUAGE = 2000
+#: Languages that are learned at most, by number of rows, ties by name: a bound for a column with stray values.
+MOST_LANGUAGES = 500
 #: Bits of a code point; the word mark is code point 1, which no letter has.
 BITS, MARK = 21, 1
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -103,30 +105,26 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, top: int = TOP, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles from rows whose language is not null. Languages are assumed to fit the driver's memory, ``top`` rows each."""
-    rows = id_and_text(docs.where(F.col(lang_col).isNotNull()).withColumn("_lang", F.col(lang_col).cast("string")), id_col, text_col)
+    """Profiles from rows whose language is not null; the driver holds ``top`` rows of MOST_LANGUAGES languages at most."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not totals:
         return Profiles.of([], top)
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1 << 20, (per_language << 20) // n))) for name, n in sorted(totals.items())])
+    shares = F.create_map(*[F.lit(x) for name, n in sorted(totals.items()) for x in (name, min(1 << 20, (per_language << 20) // n))])
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("lang", "text")
     counts = sample.mapInArrow(_counter, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    first = F.row_number().over(_ranking())
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram")))
     best = counts.select("lang", "gram", (first - 1).alias("rank")).where(F.col("rank") < top)
     return Profiles.of([(r["lang"], r["gram"], r["rank"]) for r in best.collect()], top)
 
 
-def _ranking():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
-
-
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of each row; the text is all that a prediction sees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches):
             names, scores = zip(*[profiles.predict(t) for t in part.column("text").to_pylist()], strict=True)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=PREDICTED)

@@ -11,8 +11,8 @@ Pieces come from a public vocabulary of ranked pieces; a piece of rank r has the
 ``-log(r + 2)``, the law that word frequencies follow nearly. A character that no piece covers costs
 ``UNKNOWN`` per byte and counts as many tokens as UTF-8 bytes, as byte fallback has it.
 
-A worker remembers counts of words and the trie up to ``most`` nodes; beyond that both start anew,
-which changes no count. Null and empty texts have no tokens. Repeated rows give repeated rows, an
+A worker remembers counts of words and the trie up to ``most`` nodes (some 350 bytes each); beyond that
+both start anew, which changes no count. Null and empty texts have no tokens. Repeated rows give repeated rows, an
 empty table an empty result. Other columns are not read.
 """
 
@@ -26,15 +26,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices
+from .common import id_and_text, kept, slices
 from .word_bpe import _as_text
 
 MARK = "▁"
 UNKNOWN = -25.0
 COUNTED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_pre_tokens", pa.int64())])
 
-_TRIES: dict[str, SharedTrie] = {}
-
 
 def scores(path: str) -> dict[str, float]:
     """Pieces of a sentencepiece vocabulary (without control, unknown and byte pieces) with their scores."""
@@ -48,12 +46,8 @@ def scores(path: str) -> dict[str, float]:
 class SharedTrie:
     """Nodes are dicts of child nodes by character; None holds a node's (score, tokens)."""
 
-    def __init__(self, pieces: dict[str, float], most: int = 1_500_000):
+    def __init__(self, pieces: dict[str, float], most: int = 600_000):
         self.most, self.longest = most, max(map(len, pieces), default=0)
-        self.by_end: dict[str, list[tuple[int, str, float]]] = {}
-        for piece, score in pieces.items():
-            if piece:
-                self.by_end.setdefault(piece[-1], []).append((len(piece), piece, score))
         self.pieces = pieces
         self._forget()
 
@@ -94,10 +88,8 @@ class SharedTrie:
 
 def _counter(path: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _TRIES:
-            _TRIES[path] = SharedTrie(scores(path), most)
-        trie = _TRIES[path]
-        for part in slices(batches, most=8 << 20):
+        trie = kept(f"trie {path}", lambda: SharedTrie(scores(path), most))
+        for part in slices(batches):
             words = pc.ascii_split_whitespace(_as_text(part.column("text").fill_null(b"")))
             bounds = words.offsets.to_numpy()
             bounds = bounds - bounds[0]
@@ -111,6 +103,6 @@ def _counter(path: str, most: int):
     return run
 
 
-def count_tokens(docs: DataFrame, path: str, most: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, most: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and n_pre_tokens of each row."""
     return id_and_text(docs, id_col, text_col).mapInArrow(_counter(path, most), "doc_id long, n_tokens long, n_pre_tokens long")

@@ -64,7 +64,11 @@ def test_packing(docs, empty):
         assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
         pieces.setdefault((r.doc_id, r.start), []).append(r)
     for (doc, ids), copies in wanted.items():
-        assert sum(r.length for r in rows if r.doc_id == doc) == copies * len(ids) // 4
+        own = sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.start)
+        assert sum(r.length for r in own) == copies * len(ids) // 4 and {r.doc_tokens for r in own} == {len(ids) // 4}
+        assert all(r.ids == ids[4 * r.start : 4 * (r.start + r.length)] for r in own)
+        seen = Counter(k for r in own for k in range(r.start, r.start + r.length))
+        assert seen == dict.fromkeys(range(len(ids) // 4), copies)
     seqs: dict = {}
     for r in rows:
         seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -80,9 +84,33 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, word_path()).count() == 0
 
 
-def test_pack_prefers_the_cheapest_sequence():
-    rows = packing.pack(np.array([100, 90, 40, 26]), 128)
-    assert rows[:, 2].sum() == 256 and len(set(rows[:, 3])) == 2
+def plain_pack(lengths: list[int], capacity: int, quadratic: float) -> list[tuple]:
+    """The greedy of the module's text, step by step over lists."""
+    room = packing.capacities(sum(lengths), capacity).tolist()
+    cost, used, out = [0.0] * len(room), [0] * len(room), []
+    queue = [[min(capacity, n - s), i, s] for i, n in enumerate(lengths) for s in range(0, n, capacity)]
+    while queue:
+        queue.sort(key=lambda q: (-q[0], q[1], q[2]))
+        n, i, start = queue.pop(0)
+        fits = [k for k in range(len(room)) if room[k] >= n]
+        s = min(fits or [k for k in range(len(room)) if room[k] > 0], key=lambda k: (cost[k], k))
+        if not fits:
+            queue.append([n - room[s], i, start + room[s]])
+            n = room[s]
+        out.append((i, start, n, s, used[s]))
+        used[s], room[s], cost[s] = used[s] + n, room[s] - n, cost[s] + n + quadratic * n * n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pack_is_the_greedy(seed):
+    r = np.random.default_rng(seed)
+    lengths = np.concatenate([r.integers(1, 60, 80), r.integers(100, 700, 12), [256, 512, 1]])
+    r.shuffle(lengths)
+    assert [tuple(x) for x in packing.pack(lengths, 256).tolist()] == plain_pack(lengths.tolist(), 256, 1 / 2048)
+    # 100 and 90 open a sequence each; 40 goes to the one of lower cost.
+    rows = {int(i): int(s) for i, _, _, s, _ in packing.pack(np.array([100, 90, 40, 26]), 128).tolist() if i < 3}
+    assert rows[0] != rows[1]
 
 
 def test_token_files_round_trip(spark, docs, empty):
@@ -97,6 +125,10 @@ def test_token_files_round_trip(spark, docs, empty):
     some = token_files.read_token_files(spark, out, manifest, [9, 20]).collect()
     assert {r.doc_id: r.ids for r in some} == {k: wanted[k] for k in (9, 20)}
     assert token_files.read_token_files(spark, out, token_files.write_token_files(empty, word_path(), out)).count() == 0
+    odd = spark.createDataFrame([(None, "a"), (-(1 << 63), "b c"), (0, None), (3, "x"), (3, "x"), (3, "x")], "doc_id long, text string")
+    manifest = token_files.write_token_files(odd, word_path(), out)
+    assert [r.doc_id for r in sorted(token_files.read_token_files(spark, out, manifest).collect(), key=lambda r: r.start)] == [None, -(1 << 63), 0, 3, 3, 3]
+    assert [r.doc_id for r in token_files.read_token_files(spark, out, manifest, [0]).collect()] == [0]
 
 
 def test_token_file_decompresses_only_what_is_asked_and_sees_damage(tmp_path):
@@ -253,6 +285,13 @@ def test_language_profiles(spark, empty):
     mine = sorted((int(profiles.ranks[k, column]), decode(int(profiles.codes[k]))) for k in range(len(profiles.codes)) if profiles.ranks[k, column] < 5)
     assert {g for _, g in mine} == set(best)
     found = {x.doc_id: x for x in langid.identify(df, profiles).collect()}
+    # The out-of-place distance in plain Python, over dicts of ranks.
+    learned = {name: {int(c): int(r) for c, r in zip(profiles.codes, profiles.ranks[:, k], strict=True) if r < 50} for k, name in enumerate(profiles.languages)}
+    for i, t, _ in rows[40:50]:
+        own = Counter(langid.grams(t.encode()).tolist())
+        places = {g: n for n, g in enumerate(sorted(own, key=lambda g: (-own[g], g))[:50])}
+        distance = {name: sum(abs(ranks[g] - n) if g in ranks else 50 for g, n in places.items()) for name, ranks in learned.items()}
+        assert found[i].lang_pred == min(distance, key=lambda name: (distance[name], name)) and abs(found[i].score - (1 - min(distance.values()) / (50 * len(places)))) < 1e-12
     assert all(found[i].lang_pred == lang for i, _, lang in rows[40:60]) and all(0 <= x.score <= 1 for x in found.values())
     assert found[90].lang_pred == found[91].lang_pred == "und"
     assert langid.identify(df, langid.fit(df.limit(0))).first().lang_pred == "und"
@@ -286,6 +325,18 @@ def test_toxicity_factors_learn_pairs():
     assert both > 0.5 > max(one, two, none)
 
 
+def test_toxicity_raw_is_the_double_loop():
+    r = np.random.default_rng(6)
+    machine = toxicity.Machine(10, np.arange(0, 1024, 3), 0.3, r.normal(0, 1, 342), r.normal(0, 1, (342, 4)))
+    rows = [r.integers(0, 342, n) for n in (0, 1, 2, 7, 40)]
+    rows = [np.unique(x) for x in rows]
+    got = machine.raw(np.concatenate(rows), np.cumsum([0, *map(len, rows)]))
+    for x, value in zip(rows, got, strict=True):
+        scale = 1 / np.sqrt(max(len(x), 1))
+        pairs = sum(machine.v[i] @ machine.v[j] for a, i in enumerate(x) for j in x[:a])
+        assert abs(value - (0.3 + scale * machine.w[x].sum() + scale**2 * pairs)) < 1e-9
+
+
 def brute_quality(text: str | None) -> tuple:
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -311,8 +362,27 @@ def test_quality_measures_and_cascade(spark, docs, empty):
     odd = " ".join(f"wording{chr(97 + i % 26) * (1 + i // 26)}...\u0085" for i in range(60)) + " end"
     assert quality.judge(spark.createDataFrame([(1, odd), (2, odd.replace("\u0085", "\n"))], "doc_id long, text string")).orderBy("doc_id").select("rejected_by").collect() == [(None,), ("ellipsis_lines",)]
     assert quality.judge(empty).count() == 0
-    good = quality.keep_good(docs)
-    assert good.columns == docs.columns
+    good = quality.keep_good(df, sample_rows=20)
+    assert good.columns == df.columns and sorted(map(repr, good.collect())) == sorted(repr(r) for r in df.collect() if r.doc_id in kept[0])
+
+
+def test_quality_keeps_columns_whatever_their_names(spark):
+    prose = "\n".join(" ".join(f"{w}{k}{n}" for k, w in enumerate(WORDS)) for n in range(5))
+    rows = [(k, prose + f" tail{k}" if k % 3 else "short", 7, "mine", True, [1], "other", 3) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, body string, n_chars long, rejected_by string, n_lines boolean, _words array<int>, text string, row int")
+    kept = quality.keep_good(df, text_col="body", sample_rows=10).collect()
+    assert sorted(map(tuple, kept)) == [r for r in rows if r[0] % 3]
+    judged = quality.judge(df, text_col="body", sample_rows=10).collect()
+    assert all((r.n_chars, r._words, r.text, r.row) == (7, [1], "other", 3) and r.kept == (r.doc_id % 3 > 0) for r in judged)
+    assert quality.keep_good(df.limit(0), text_col="body").count() == 0
+
+
+def test_cascade_order_is_greedy():
+    made = [quality.Rule(n, None, needs) for n, needs in (("dear", ("windows",)), ("cheap", ()), ("same", ()), ("free", ("windows",)))]
+    found = [((True, True, True, False), 50), ((True, False, False, False), 30), ((False, False, False, True), 5), ((False,) * 4, 15)]
+    out = quality.greedy(made, found, {"windows": 10.0}, dict.fromkeys(("dear", "cheap", "same", "free"), 1.0), set())
+    # "same" adds nothing after "cheap"; "free" pays for no measure once "dear" has.
+    assert [r.name for r in out] == ["cheap", "dear", "free", "same"]
 
 
 def test_repeated_words_are_exact_where_hashes_collide(spark, monkeypatch):
@@ -324,7 +394,10 @@ def test_repeated_words_are_exact_where_hashes_collide(spark, monkeypatch):
     assert [x.n_repeat_words for x in sorted(found)] == [brute_quality(t)[4] for _, t in rows]
 
 
-def test_url_filter_as_of(spark):
+@pytest.mark.parametrize("bound", [16 << 20, 0])
+def test_url_filter_as_of(spark, monkeypatch, bound):
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", bound)
+    monkeypatch.setattr(url_filter, "HOT", 1)
     entries = spark.createDataFrame(
         [("Bad.example", "add", "2024-01-10", "x"), ("bad.example", "remove", "2024-02-01", "x"), ("bad.example", "add", "2024-02-01", "x"), ("bad.example", "remove", "2024-03-01", "x"), ("a.bad.example", "add", "2024-01-20", "y"), (None, "add", "2024-01-01", "z"), ("late.example", "remove", "2024-01-01", "z"), ("bad.example", "add", "2024-01-15", "x")],
         "domain string, action string, day string, category string",
@@ -333,10 +406,10 @@ def test_url_filter_as_of(spark):
         ("http://bad.example/", "2024-01-09", None), ("http://www.BAD.example:80/x", "2024-01-10", "bad.example"), ("https://u@bad.example?q", "2024-02-15", "bad.example"), ("http://bad.example", "2024-03-01", None),
         ("http://x.a.bad.example/", "2024-01-25", "a.bad.example"), ("http://x.a.bad.example/", "2024-05-25", "a.bad.example"), ("http://notbad.example/", "2024-01-25", None), (None, "2024-01-25", None), ("no url", "2024-01-25", None), ("http://late.example", "2024-01-25", None), ("http://bad.example", None, None),
     ]
-    captures = spark.createDataFrame([(i, u, d) for i, (u, d, _) in enumerate(cases)], "page_id long, url string, d string").selectExpr("page_id", "url", "to_timestamp(d) as fetched_at", "'c' as blocked", "'h' as host")
+    captures = spark.createDataFrame([(i, u, d) for i, (u, d, _) in enumerate(cases)], "page_id long, url string, d string").selectExpr("page_id", "url", "to_timestamp(d) as fetched_at", "'c' as blocked", "'h' as host", "'t' as timeline", "5 as at", "'s' as salt", "'b' as best", "1 as row")
     found = {r.page_id: r for r in url_filter.evaluate(captures, entries).collect()}
     assert [found[i].matched_domain for i in range(len(cases))] == [c[2] for c in cases]
-    assert [found[i].blocked for i in range(len(cases))] == [c[2] is not None for c in cases] and found[0].host == "h"
+    assert [found[i].blocked for i in range(len(cases))] == [c[2] is not None for c in cases] and (found[0].host, found[0].timeline, found[0].at, found[0].salt, found[0].best, found[0].row) == ("h", "t", 5, "s", "b", 1)
     assert url_filter.evaluate(captures.limit(0), entries).count() == 0 and url_filter.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
 
 
@@ -474,3 +547,37 @@ def test_places_survive_their_coding():
         places = np.concatenate([r.integers(0, top, 500), [0, top - 1]]).astype(np.int64)
         assert (byte_bpe._places_in(byte_bpe._places_out(places)) == places).all()
     assert len(byte_bpe._places_in(byte_bpe._places_out(np.empty(0, np.int64)))) == 0
+
+
+def test_texts_of_megabytes(spark):
+    """One text of five megabytes and one word of a megabyte through every operator on texts."""
+    import public_tokenizers
+    import tiktoken
+
+    r = random.Random(12)
+    long = " ".join(r.choice(WORDS) + r.choice("abcdefgh") + str(r.randrange(300)) for _ in range(650_000))
+    rows = [(1, long, "p"), (2, "x" * 1_000_000, "q"), (3, "the river", "p"), (4, long, "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    assert len(long) > 5_000_000
+    prints = {x.doc_id: x for x in simhash.near_duplicates(df).collect()}
+    assert int(prints[1].fingerprint, 16) == plain_fingerprint(long, 4) and prints[4].component_id == 1
+    assert {x.doc_id for x in near_copies.keep_one(df).collect()} == {1, 2, 3}
+    found = {x.doc_id: x for x in quality.measures(df).collect()}
+    assert (found[1].n_words, found[1].word_chars) == brute_quality(long)[:2] and found[1].n_repeat_words == brute_quality(long)[4] and found[2].n_words == 1
+    wanted = {i: ids_of(t, 2) for i, t, _ in rows[:3]}
+    pieces: dict = {}
+    for p in packing.pack_documents(df.where("doc_id < 4"), word_path()).collect():
+        pieces.setdefault(p.doc_id, []).append((p.start, p.ids))
+    assert {i: b"".join(x for _, x in sorted(p)) for i, p in pieces.items()} == wanted
+    out = new_path(spark, "long")
+    read = token_files.read_token_files(spark, out, token_files.write_token_files(df, word_path(), out, end_id=2))
+    assert {x.doc_id: x.ids for x in read.collect()} == {**wanted, 4: wanted[1]}
+    path = queries.vocabulary(queries.BYTE_BPE)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    coder = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digests = {x.doc_id: x for x in byte_bpe.digests(byte_bpe.encode(df, path, public_tokenizers.PATTERN), path).collect()}
+    assert digests[1].ids_sha256 == hashlib.sha256(np.array(coder.encode_ordinary(long), "<u4").tobytes()).hexdigest() and digests[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert digests[2].decoded_sha256 == hashlib.sha256(b"x" * 1_000_000).hexdigest()
+    assert {x.doc_id: x.n_pre_tokens for x in token_counts.count_tokens(df, queries.vocabulary(queries.PIECES)).collect()}[1] == 650_000
+    assert {x.doc_id: x.lang_pred for x in langid.identify(df, langid.fit(df)).collect()}[1] in ("p", "q")
+    assert toxicity.score(df, toxicity.train([np.array([5])], np.array([0]))).count() == 4
