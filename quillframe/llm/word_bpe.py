@@ -22,36 +22,38 @@ from .common import kept
 # Fixed value: what the file's pre-tokenizer matches in lower-case ASCII.
 ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: Bytes of text that are encoded at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Words that go to the tokenizer at once; its results are large.
+BATCH = 1000
 
 
 class WordBpe:
     """encode() gives the ids of each text as little-endian unsigned 32-bit integers. Null counts as empty.
 
-    About ``most`` pieces and as many pre-tokens are remembered, some 200 bytes each. Beyond that the pieces met
-    in one slice of texts only and the older pre-tokens are forgotten, which changes no result.
+    About ``most`` pieces are remembered in arrays, some 70 bytes each, and half as many pre-tokens in a dict, some
+    140 bytes each. Beyond that the pieces met in one slice of texts only and the older pre-tokens are forgotten,
+    which changes no result.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.pre: dict[str, bytes] = {}
         self.pre_before: dict[str, bytes] = {}
-        self.known: dict[bytes, int] = {}
+        self.pieces = pa.array([], pa.binary())
         self.flat, self.used = np.empty(1 << 16, "<u4"), 0
         self.begin, self.size, self.met = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _forget(self) -> None:
         """Keeps the pieces met in several slices, the most often met ones if they are still too many."""
-        n = len(self.known)
+        n = len(self.pieces)
         keep = self.met[:n] > 1
         if keep.sum() > self.most // 2:
             keep &= self.met[:n] > np.partition(self.met[:n], n - self.most // 2)[n - self.most // 2]
         places = np.flatnonzero(keep)
-        number = np.cumsum(keep) - 1
-        self.known = {p: int(number[k]) for p, k in self.known.items() if keep[k]}
+        self.pieces = self.pieces.take(pa.array(places))
         size = self.size[places]
         at = np.repeat(self.begin[places] - (np.cumsum(size) - size), size)
         at += np.arange(len(at))
@@ -65,8 +67,8 @@ class WordBpe:
 
     def _coded(self, words: list[str]) -> list[bytes]:
         found: list[bytes] = []
-        for k in range(0, len(words), 20_000):
-            found += [pack(f"<{len(c.ids)}I", *c.ids) for c in self.tokenizer.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
+        for k in range(0, len(words), BATCH):
+            found += [pack(f"<{len(c.ids)}I", *c.ids) for c in self.tokenizer.encode_batch_fast(words[k : k + BATCH], add_special_tokens=False)]
         return found
 
     def _learn(self, pieces: list[bytes]) -> None:
@@ -79,7 +81,7 @@ class WordBpe:
         lowered = [words[k].lower() for k in rest]
         plain = {w for w in lowered if w.isalpha()}
         several = {k: ASCII_PRE_TOKEN.findall(w) for k, w in zip(rest, lowered, strict=True) if w not in plain}
-        if len(self.pre) > self.most // 2:
+        if len(self.pre) > self.most // 4:
             self.pre, self.pre_before = {}, self.pre
         pre, before = self.pre, self.pre_before
         wanted = [w for w in plain.union(*several.values()) if w not in pre]
@@ -89,7 +91,7 @@ class WordBpe:
         for k, w in zip(rest, lowered, strict=True):
             ids[k] = pre[w] if w in plain else b"".join(map(pre.__getitem__, several[k]))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        n, total = len(self.known), int(sizes.sum())
+        n, total = len(self.pieces), int(sizes.sum())
         if n + len(ids) > len(self.begin):
             self.begin, self.size, self.met = (np.concatenate([a[:n], np.zeros(n // 4 + 2 * len(ids), np.int64)]) for a in (self.begin, self.size, self.met))
         if self.used + total > len(self.flat):
@@ -99,7 +101,7 @@ class WordBpe:
         self.size[n : n + len(ids)] = sizes
         self.met[n : n + len(ids)] = 0
         self.used += total
-        self.known.update(zip(pieces, range(n, n + len(ids)), strict=True))
+        self.pieces = pa.concat_arrays([self.pieces, pa.array(pieces, pa.binary())])
 
     def encode(self, texts: pa.Array | list[bytes | None]) -> list[bytes]:
         """The ids of each text, which is UTF-8 in binary values."""
@@ -118,15 +120,16 @@ class WordBpe:
         words = pc.ascii_split_whitespace(_as_text(texts.fill_null(b"")))
         bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        if len(self.known) > self.most:
+        distinct = coded.dictionary.cast(pa.binary())
+        if len(self.pieces) > self.most:
             self._forget()
-        known = self.known
-        if missing := [w for w in distinct if w not in known]:
+        found = pc.index_in(distinct, value_set=self.pieces)
+        entry = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
             gc.disable()  # many small lists live for a moment, none in a cycle
-            self._learn(missing)
+            entry[entry < 0] = np.arange(len(self.pieces), len(self.pieces) + found.null_count)
+            self._learn(distinct.filter(found.is_null()).to_pylist())
             gc.enable()
-        entry = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
         self.met[entry] += 1
         at = entry[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = self.size[at]
