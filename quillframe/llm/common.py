@@ -106,9 +106,9 @@ def small_batches(spark: SparkSession, most: int = SLICE_BYTES) -> None:
         spark.conf.set(name, str(most))
 
 
-def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = SLICE_BYTES) -> DataFrame:
     """Just the two columns that are read, as ``id`` (long) and ``text`` (UTF-8 bytes): other columns, clashing names included, stay out."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, batch_bytes)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 

@@ -101,4 +101,4 @@ def _packer(path: str, end_id: int, capacity: int, quadratic: float, block_token
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, quadratic: float = 1 / 2048, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece with its token ids; see the module's text. ``sequence_id`` is unique over all partitions."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_packer(tokenizer_path, end_id, capacity, quadratic, block_tokens), DDL)
+    return id_and_text(docs, id_col, text_col, SLICE).mapInArrow(_packer(tokenizer_path, end_id, capacity, quadratic, block_tokens), DDL)

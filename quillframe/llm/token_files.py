@@ -43,7 +43,7 @@ WITH_CHECKSUMS = 0x80
 #: Bytes of ids in a frame.
 FRAME_BYTES = 256 << 10
 #: Bytes of text of a shard, on average.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 
 MANIFEST = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64())])
 MANIFEST_DDL = "shard long, file string, n_docs long, n_tokens long, first_id long"
@@ -170,7 +170,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id
 
     The manifest has as many rows as the range exchange has partitions: one per SHARD_BYTES of text, unless shards says otherwise.
     """
-    rows = id_and_text(docs, id_col, text_col)
+    rows = id_and_text(docs, id_col, text_col, SLICE)
     n = shards or pieces(rows, SHARD_BYTES)
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     placed = rows.repartitionByRange(n, "id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "text")

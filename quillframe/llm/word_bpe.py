@@ -22,7 +22,7 @@ from .common import kept
 # Fixed value: what the file's pre-tokenizer matches in lower-case ASCII.
 ASCII_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: Bytes of text that are encoded at once.
-SLICE = 2 << 20
+SLICE = 8 << 20
 #: Words that go to the tokenizer at once; its results are large.
 BATCH = 1000
 
@@ -35,7 +35,7 @@ class WordBpe:
     which changes no result.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
