@@ -8,7 +8,7 @@ bucket encodes each distinct word of all chunks once and sends the ids back; a c
 then has ids, which replace the positions.
 
 The chunks are written to the shared folder before they are used twice, so both uses see the same
-dictionary, whatever is recomputed. Buckets follow the bytes of text, so that the words of one fit the
+dictionary, whatever is recomputed. Buckets grow with the root of the bytes of text, so that the words of one fit the
 ``most`` words that its task remembers; beyond that it forgets and encodes some word again. The join
 of chunks with their ids has a partition per ``JOIN_BYTES`` of chunks. Numbers travel compressed.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -39,8 +40,10 @@ from pyspark.sql import functions as F
 from .common import batch_of, cut, id_and_text, pieces, release, slices, written_bytes
 
 CHUNK_BYTES = 48 << 20
-#: Bytes of text for each bucket of words, and of written chunks for each task of the join.
-BUCKET_BYTES, JOIN_BYTES = 4 << 30, 64 << 20
+#: Buckets are the root of the bytes of text in this unit: their words and the cells of chunks and buckets grow alike.
+BUCKET_UNIT = 1 << 20
+#: Bytes of written chunks for each task of the join.
+JOIN_BYTES = 16 << 20
 CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.binary()), ("nulls", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("words", pa.list_(pa.binary())), ("numbers", pa.list_(pa.binary()))])
 CHUNKS_DDL = "chunk long, doc_ids binary, nulls binary, counts binary, places binary, words array<binary>, numbers array<binary>"
 CODED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
@@ -249,11 +252,11 @@ def _joiner():
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES, most: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES, most: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of each row."""
     texts = id_and_text(docs, id_col, text_col)
     if buckets is None:
-        buckets = max(8, pieces(texts, BUCKET_BYTES))
+        buckets = max(8, math.isqrt(pieces(texts, BUCKET_UNIT)))
     chunks = cut(texts.mapInArrow(_chunker(pattern, buckets, chunk_bytes), CHUNKS_DDL), "bpe-chunks")
     joins = max(texts.sparkSession.sparkContext.defaultParallelism, -(-written_bytes(chunks) // JOIN_BYTES))
     sent = chunks.select("chunk", F.posexplode("words").alias("bucket", "words"))
