@@ -40,7 +40,16 @@ class Context:
 def compile_formula(text: str, context: Context) -> Column:
     """The value of a formula as a Column; a blank result reads as 0."""
     made = scalar(parse(text), context)
-    return v.let(made, lambda x: F.when(x["k"] == "blank", v.number(0.0)).otherwise(x))
+    return v.let(made, _shown)
+
+
+def _shown(x: Column) -> Column:
+    """A blank reads as 0."""
+    if "blank" not in v.kinds_of(x):
+        return x
+    if isinstance(x, v.Value):
+        return v.Value(x.kinds - {"blank"} | {"num"}, **{**x.fields, "n": v.when(x.is_("blank"), F.lit(0.0)).otherwise(x["n"])})
+    return v.when(x["k"] == "blank", v.number(0.0)).otherwise(x)
 
 
 def scalar(node, x: Context) -> Column:
@@ -107,12 +116,12 @@ def _items(args: list, x: Context) -> Column:
 
 def _numbers(args: list, x: Context, body: Callable[[Column], Column]) -> Column:
     """body of the array of numbers: of ranges only numbers count, direct arguments are coerced; the first error else."""
-    coerced = F.transform(_items(args, x), lambda i: F.when(i["d"], v.to_number(i["v"])).otherwise(i["v"]))
+    coerced = F.transform(_items(args, x), lambda i: v.when(i["d"], v.to_number(i["v"])).otherwise(i["v"]))
 
     def made(found: Column) -> Column:
         bad = F.filter(found, lambda i: i["k"] == "err")
         numbers = F.transform(F.filter(found, lambda i: i["k"] == "num"), lambda i: i["n"])
-        return F.when(F.size(bad) > 0, F.get(bad, F.lit(0))).otherwise(v.let(numbers, body))
+        return v.when(F.size(bad) > 0, F.get(bad, F.lit(0))).otherwise(v.let(numbers, body))
 
     return v.let(coerced, made)
 
@@ -122,17 +131,17 @@ def _total(a: Column) -> Column:
 
 
 def _average(a: Column) -> Column:
-    return F.when(F.size(a) == 0, v.err(v.DIV0)).otherwise(v.number(F.try_divide(_total(a), F.size(a))))
+    return v.when(F.size(a) == 0, v.err(v.DIV0)).otherwise(v.number(F.try_divide(_total(a), F.size(a))))
 
 
 def _logical(fold: Callable[[Column], Column]):
     def body(args: list, x: Context) -> Column:
-        coerced = F.transform(_items(args, x), lambda i: F.when(i["d"], v.to_bool(i["v"])).when(i["v"]["k"] == "num", v.to_bool(i["v"])).otherwise(i["v"]))
+        coerced = F.transform(_items(args, x), lambda i: v.when(i["d"], v.to_bool(i["v"])).when(i["v"]["k"] == "num", v.to_bool(i["v"])).otherwise(i["v"]))
 
         def made(found: Column) -> Column:
             bad = F.filter(found, lambda i: i["k"] == "err")
             flags = F.transform(F.filter(found, lambda i: i["k"] == "bool"), lambda i: i["b"])
-            return F.when(F.size(bad) > 0, F.get(bad, F.lit(0))).when(F.size(flags) == 0, v.err(v.VALUE)).otherwise(v.boolean(fold(flags)))
+            return v.when(F.size(bad) > 0, F.get(bad, F.lit(0))).when(F.size(flags) == 0, v.err(v.VALUE)).otherwise(v.boolean(fold(flags)))
 
         return v.let(coerced, made)
 
@@ -157,7 +166,7 @@ def _conditional(args: list, x: Context, values, pairs: list, finish: Callable[[
     def made(found: Column) -> Column:
         bad = F.filter(found, lambda i: i["k"] == "err")
         numbers = F.transform(F.filter(found, lambda i: i["k"] == "num"), lambda i: i["n"])
-        return F.when(F.size(bad) > 0, F.get(bad, F.lit(0))).otherwise(v.let(numbers, finish))
+        return v.when(F.size(bad) > 0, F.get(bad, F.lit(0))).otherwise(v.let(numbers, finish))
 
     return v.let(chosen, made)
 
@@ -203,8 +212,8 @@ def _sumproduct(args: list, x: Context) -> Column:
 
     def made(found: Column) -> Column:
         bad = F.filter(found, lambda i: i["k"] == "err")
-        product = lambda row: F.aggregate(row, F.lit(1.0), lambda a, c: a * F.when(c["k"] == "num", c["n"]).otherwise(0.0))
-        return F.when(F.size(bad) > 0, F.get(bad, F.lit(0))).otherwise(v.number(F.aggregate(rows, F.lit(0.0), lambda a, row: a + product(row))))
+        product = lambda row: F.aggregate(row, F.lit(1.0), lambda a, c: a * v.when(c["k"] == "num", c["n"]).otherwise(0.0))
+        return v.when(F.size(bad) > 0, F.get(bad, F.lit(0))).otherwise(v.number(F.aggregate(rows, F.lit(0.0), lambda a, row: a + product(row))))
 
     return v.let(flat, made)
 
@@ -222,7 +231,7 @@ def _round(n: Column, d: Column) -> Column:
 
     def made(scale: Column, at: Column) -> Column:
         scaled = F.abs(n) * scale
-        return F.when((at > 15) | (scaled >= 1e15), n).otherwise(F.signum(n) * F.floor(digits15(scaled) + 0.5) / scale)
+        return v.when((at > 15) | (scaled >= 1e15), n).otherwise(F.signum(n) * F.floor(digits15(scaled) + 0.5) / scale)
 
     return v.lets([F.pow(F.lit(10.0), F.floor(d)), d], made)
 
@@ -239,7 +248,7 @@ def _multiple(up: bool):
     def made(n: Column, s: Column) -> Column:
         q = F.round(F.try_divide(n, s), 9)
         whole = (F.ceil(q) if up else F.floor(q)).cast("double")
-        return F.when(s == 0, v.number(0.0) if up else F.when(n == 0, v.number(0.0)).otherwise(v.err(v.DIV0))).when((n > 0) & (s < 0), v.err(v.NUM)).otherwise(v.number(digits15(whole * s)))
+        return v.when(s == 0, v.number(0.0) if up else v.when(n == 0, v.number(0.0)).otherwise(v.err(v.DIV0))).when((n > 0) & (s < 0), v.err(v.NUM)).otherwise(v.number(digits15(whole * s)))
 
     return made
 
@@ -256,11 +265,11 @@ def _math(body: Callable[..., Column], *defaults: float):
 
 
 def _mod(a: Column, b: Column) -> Column:
-    return F.when(b == 0, v.err(v.DIV0)).otherwise(v.number(a - b * F.floor(F.try_divide(a, b))))
+    return v.when(b == 0, v.err(v.DIV0)).otherwise(v.number(a - b * F.floor(F.try_divide(a, b))))
 
 
 def _log(a: Column, b: Column) -> Column:
-    return F.when((a <= 0) | (b <= 0) | (b == 1), v.err(v.NUM)).otherwise(v.number(F.try_divide(F.ln(a), F.ln(b))))
+    return v.when((a <= 0) | (b <= 0) | (b == 1), v.err(v.NUM)).otherwise(v.number(F.try_divide(F.ln(a), F.ln(b))))
 
 
 # Logic
@@ -268,8 +277,8 @@ def _log(a: Column, b: Column) -> Column:
 
 def _iff(args: list, x: Context) -> Column:
     yes, no = scalar(args[1], x), scalar(args[2], x) if len(args) > 2 else v.boolean(False)
-    zero = lambda c: v.let(c, lambda y: F.when(y["k"] == "blank", v.number(0.0)).otherwise(y))
-    return v.first_error([v.to_bool(scalar(args[0], x))], lambda t: F.when(t["b"], zero(yes)).otherwise(zero(no)))
+    zero = lambda c: v.let(c, _shown)
+    return v.first_error([v.to_bool(scalar(args[0], x))], lambda t: v.when(t["b"], zero(yes)).otherwise(zero(no)))
 
 
 def _ifs_branches(args: list, x: Context) -> Column:
@@ -277,13 +286,13 @@ def _ifs_branches(args: list, x: Context) -> Column:
         return v.err(v.VALUE)
     out = v.err(v.NA)
     for i in range(len(args) - 2, -1, -2):
-        out = (lambda rest, i: v.first_error([v.to_bool(scalar(args[i], x))], lambda t: F.when(t["b"], scalar(args[i + 1], x)).otherwise(rest)))(out, i)
+        out = (lambda rest, i: v.first_error([v.to_bool(scalar(args[i], x))], lambda t: v.when(t["b"], scalar(args[i + 1], x)).otherwise(rest)))(out, i)
     return out
 
 
 def _choose(args: list, x: Context) -> Column:
     def made(n: Column) -> Column:
-        out = F.when(F.lit(False), v.blank())
+        out = v.when(F.lit(False), v.blank())
         for i, a in enumerate(args[1:], 1):
             out = out.when(F.floor(n) == i, scalar(a, x))
         return out.otherwise(v.err(v.VALUE))
@@ -296,7 +305,7 @@ def _switch(args: list, x: Context) -> Column:
     pairs = [(args[i], args[i + 1]) for i in range(1, len(args) - 1, 2)]
 
     def made(s: Column) -> Column:
-        out = F.when(F.lit(False), v.blank())
+        out = v.when(F.lit(False), v.blank())
         for key, value in pairs:
             k = scalar(key, x)
             out = out.when((s["k"] == k["k"]) & v.compare(s, k, "=")["b"], scalar(value, x))
@@ -334,34 +343,34 @@ def _text(body: Callable[..., Column], kinds: str, *defaults: float):
 
 
 def _left(s: Column, n: Column) -> Column:
-    return F.when(n < 0, v.err(v.VALUE)).otherwise(v.text(F.substring(s, F.lit(1), F.floor(n).cast("int"))))
+    return v.when(n < 0, v.err(v.VALUE)).otherwise(v.text(F.substring(s, F.lit(1), F.floor(n).cast("int"))))
 
 
 def _right(s: Column, n: Column) -> Column:
     k = F.least(F.floor(n).cast("int"), F.length(s))
-    return F.when(n < 0, v.err(v.VALUE)).otherwise(v.text(F.substring(s, F.length(s) - k + 1, k)))
+    return v.when(n < 0, v.err(v.VALUE)).otherwise(v.text(F.substring(s, F.length(s) - k + 1, k)))
 
 
 def _mid(s: Column, start: Column, n: Column) -> Column:
-    return F.when((F.floor(start) < 1) | (n < 0), v.err(v.VALUE)).otherwise(v.text(F.substring(s, F.floor(start).cast("int"), F.floor(n).cast("int"))))
+    return v.when((F.floor(start) < 1) | (n < 0), v.err(v.VALUE)).otherwise(v.text(F.substring(s, F.floor(start).cast("int"), F.floor(n).cast("int"))))
 
 
 def _proper(s: Column) -> Column:
     """A capital after anything that is no letter."""
     start = F.struct(F.lit("").alias("out"), F.lit(False).alias("letter"))
-    step = lambda a, c: F.struct(F.concat(a["out"], F.when(a["letter"], F.lower(c)).otherwise(F.upper(c))).alias("out"), c.rlike("\\p{L}").alias("letter"))
+    step = lambda a, c: F.struct(F.concat(a["out"], v.when(a["letter"], F.lower(c)).otherwise(F.upper(c))).alias("out"), c.rlike("\\p{L}").alias("letter"))
     return v.text(F.aggregate(F.split(s, ""), start, step)["out"])
 
 
 def _rept(s: Column, n: Column) -> Column:
     k = F.floor(n).cast("int")
-    return F.when((k < 0) | (F.length(s).cast("double") * n > v.MAX_TEXT), v.err(v.VALUE)).otherwise(v.text(F.repeat(s, k)))
+    return v.when((k < 0) | (F.length(s).cast("double") * n > v.MAX_TEXT), v.err(v.VALUE)).otherwise(v.text(F.repeat(s, k)))
 
 
 def _substitute(args: list, x: Context) -> Column:
     texts = [v.to_text(scalar(a, x)) for a in args[:3]]
     if len(args) == 3:
-        return v.first_error(texts, lambda s, o, n: v.text(F.when(o["s"] == "", s["s"]).otherwise(F.replace(s["s"], o["s"], n["s"]))))
+        return v.first_error(texts, lambda s, o, n: v.text(v.when(o["s"] == "", s["s"]).otherwise(F.replace(s["s"], o["s"], n["s"]))))
 
     def nth(s: Column, o: Column, n: Column, k: Column) -> Column:
         s, o, n, k = s["s"], o["s"], n["s"], F.floor(k["n"])
@@ -369,7 +378,7 @@ def _substitute(args: list, x: Context) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.substring(s, i, F.length(o)) == o)
         at = F.get(starts, (k - 1).cast("int"))
         changed = F.concat(F.substring(s, F.lit(1), at - 1), n, F.substring(s, at + F.length(o), F.length(s)))
-        return F.when(k < 1, v.err(v.VALUE)).when((o == "") | at.isNull(), v.text(s)).otherwise(v.text(changed))
+        return v.when(k < 1, v.err(v.VALUE)).when((o == "") | at.isNull(), v.text(s)).otherwise(v.text(changed))
 
     return v.first_error([*texts, v.to_number(scalar(args[3], x))], nth)
 
@@ -377,13 +386,13 @@ def _substitute(args: list, x: Context) -> Column:
 def _replace(s: Column, start: Column, n: Column, new: Column) -> Column:
     a, k = F.floor(start).cast("int"), F.floor(n).cast("int")
     out = F.concat(F.substring(s, F.lit(1), a - 1), new, F.substring(s, F.least(a, F.length(s) + 1) + k, F.greatest(F.length(s), F.lit(1))))
-    return F.when((a < 1) | (k < 0), v.err(v.VALUE)).otherwise(v.text(out))
+    return v.when((a < 1) | (k < 0), v.err(v.VALUE)).otherwise(v.text(out))
 
 
 def _find(what: Column, s: Column, start: Column) -> Column:
     a = F.floor(start).cast("int")
-    at = F.when(what == "", a).otherwise(F.call_function("locate", what, s, a))
-    return F.when((a < 1) | (a > F.length(s) + 1), v.err(v.VALUE)).when(at == 0, v.err(v.VALUE)).otherwise(v.number(at))
+    at = v.when(what == "", a).otherwise(F.call_function("locate", what, s, a))
+    return v.when((a < 1) | (a > F.length(s) + 1), v.err(v.VALUE)).when(at == 0, v.err(v.VALUE)).otherwise(v.number(at))
 
 
 def _search(what: Column, s: Column, start: Column) -> Column:
@@ -395,7 +404,7 @@ def _search(what: Column, s: Column, start: Column) -> Column:
     tail = F.substring(s, a, F.greatest(F.length(s), F.lit(1)))
     before = F.call_function("regexp_extract", tail, F.concat(F.lit("(?is)^(.*?)"), regex), F.lit(1))
     found = F.regexp_like(tail, F.concat(F.lit("(?is)"), regex))
-    return F.when((a < 1) | (a > F.length(s) + 1) | ~found, v.err(v.VALUE)).otherwise(v.number(a + F.length(before)))
+    return v.when((a < 1) | (a > F.length(s) + 1) | ~found, v.err(v.VALUE)).otherwise(v.number(a + F.length(before)))
 
 
 def _concat(args: list, x: Context) -> Column:
@@ -408,7 +417,7 @@ def _joined(items: Column, delimiter: Column, skip: Column) -> Column:
         texts = F.filter(F.transform(found, lambda i: i["s"]), lambda s: ~skip | (s != ""))
         whole = F.array_join(texts, "\u0000")
         out = F.replace(whole, F.lit("\u0000"), delimiter)
-        return F.when(F.size(bad) > 0, F.get(bad, F.lit(0))).when(F.length(out) > v.MAX_TEXT, v.err(v.VALUE)).otherwise(v.text(out))
+        return v.when(F.size(bad) > 0, F.get(bad, F.lit(0))).when(F.length(out) > v.MAX_TEXT, v.err(v.VALUE)).otherwise(v.text(out))
 
     return v.let(items, made)
 
@@ -419,60 +428,60 @@ def _textjoin(args: list, x: Context) -> Column:
 
 
 def _exact(args: list, x: Context) -> Column:
-    return v.lets([v.to_text(scalar(a, x)) for a in args], lambda a, b: F.when((a["k"] == "err") | (b["k"] == "err"), v.err(v.VALUE)).otherwise(v.boolean(a["s"] == b["s"])))
+    return v.lets([v.to_text(scalar(a, x)) for a in args], lambda a, b: v.when((a["k"] == "err") | (b["k"] == "err"), v.err(v.VALUE)).otherwise(v.boolean(a["s"] == b["s"])))
 
 
 def _value(args: list, x: Context) -> Column:
-    return v.let(scalar(args[0], x), lambda c: F.when(c["k"] == "bool", v.err(v.VALUE)).otherwise(v.to_number(c)))
+    return v.let(scalar(args[0], x), lambda c: v.when(c["k"] == "bool", v.err(v.VALUE)).otherwise(v.to_number(c)))
 
 
 def _text_format(args: list, x: Context) -> Column:
     if not isinstance(args[1], Constant) or not isinstance(args[1].value, str):
         return v.err(v.VALUE)
-    return v.let(scalar(args[0], x), lambda c: F.when(c["k"] == "err", c).otherwise(v.text(formats.format_value(c, args[1].value))))
+    return v.let(scalar(args[0], x), lambda c: v.when(c["k"] == "err", c).otherwise(v.text(formats.format_value(c, args[1].value))))
 
 
 # Dates
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    year = F.floor(y) + F.when(F.floor(y) < 1900, 1900).otherwise(0)
+    year = F.floor(y) + v.when(F.floor(y) < 1900, 1900).otherwise(0)
     months = (year - 1900) * 12 + F.floor(m) - 1
     inside = (months >= 0) & (months < 8100 * 12) & (F.abs(d) < 4_000_000)
-    first = F.date_add(F.add_months(F.lit("1900-01-01").cast("date"), F.when(inside, months).otherwise(0).cast("int")), F.when(inside, F.floor(d) - 1).otherwise(0).cast("int"))
+    first = F.date_add(F.add_months(F.lit("1900-01-01").cast("date"), v.when(inside, months).otherwise(0).cast("int")), v.when(inside, F.floor(d) - 1).otherwise(0).cast("int"))
     days = F.datediff(first, F.lit("1899-12-30").cast("date"))
-    serial = F.when(days < 61, days - 1).otherwise(days)
-    return F.when(~inside | (serial < 0) | (serial > 2_958_465), v.err(v.NUM)).otherwise(v.number(serial))
+    serial = v.when(days < 61, days - 1).otherwise(days)
+    return v.when(~inside | (serial < 0) | (serial > 2_958_465), v.err(v.NUM)).otherwise(v.number(serial))
 
 
 def _on_date(body: Callable[[Column, Column], Column]):
     """A function of a serial: body gets its date and its whole days."""
 
     def call(args: list, x: Context) -> Column:
-        return v.on_numbers([scalar(args[0], x)], lambda n: v.lets([serial_to_date(n), F.floor(n)], lambda d, days: F.when(d.isNull(), v.err(v.NUM)).otherwise(v.number(body(d, days)))))
+        return v.on_numbers([scalar(args[0], x)], lambda n: v.lets([serial_to_date(n), F.floor(n)], lambda d, days: v.when(d.isNull(), v.err(v.NUM)).otherwise(v.number(body(d, days)))))
 
     return call
 
 
 def _on_time(divide: int, of: int):
     """Hours, minutes or seconds of a serial's fraction, rounded to milliseconds."""
-    return lambda args, x: v.on_numbers([scalar(args[0], x)], lambda n: F.when(n < 0, v.err(v.NUM)).otherwise(v.number(F.pmod(F.floor(F.round((n - F.floor(n)) * 86_400_000) / (divide * 1000)), F.lit(of)))))
+    return lambda args, x: v.on_numbers([scalar(args[0], x)], lambda n: v.when(n < 0, v.err(v.NUM)).otherwise(v.number(F.pmod(F.floor(F.round((n - F.floor(n)) * 86_400_000) / (divide * 1000)), F.lit(of)))))
 
 
 def _weekday(n: Column, kind: Column) -> Column:
     sunday = F.pmod(F.floor(n) + 6, F.lit(7))  # 0 for Sunday, also before 1 March 1900
     k = F.floor(kind)
-    day = F.when(k == 1, sunday + 1).when(k == 2, F.pmod(sunday + 6, F.lit(7)) + 1).when(k == 3, F.pmod(sunday + 6, F.lit(7)))
-    return F.when(day.isNull() | (n < 0) | (n > 2_958_465), v.err(v.NUM)).otherwise(v.number(day))
+    day = v.when(k == 1, sunday + 1).when(k == 2, F.pmod(sunday + 6, F.lit(7)) + 1).when(k == 3, F.pmod(sunday + 6, F.lit(7)))
+    return v.when(day.isNull() | (n < 0) | (n > 2_958_465), v.err(v.NUM)).otherwise(v.number(day))
 
 
 def _edate(end: bool):
     def made(n: Column, months: Column) -> Column:
-        moved = F.add_months(serial_to_date(n), F.when(F.abs(months) < 120_000, months).otherwise(0).cast("int"))
+        moved = F.add_months(serial_to_date(n), v.when(F.abs(months) < 120_000, months).otherwise(0).cast("int"))
         moved = F.last_day(moved) if end else moved
         days = F.datediff(moved, F.lit("1899-12-30").cast("date"))
-        serial = F.when(days < 61, days - 1).otherwise(days)
-        return F.when((F.abs(months) >= 120_000) | serial.isNull() | (serial < 0) | (serial > 2_958_465), v.err(v.NUM)).otherwise(v.number(serial))
+        serial = v.when(days < 61, days - 1).otherwise(days)
+        return v.when((F.abs(months) >= 120_000) | serial.isNull() | (serial < 0) | (serial > 2_958_465), v.err(v.NUM)).otherwise(v.number(serial))
 
     return made
 
@@ -481,8 +490,8 @@ def _datedif(args: list, x: Context) -> Column:
     def made(a: Column, b: Column, u: Column) -> Column:
         start, end, unit = serial_to_date(a["n"]), serial_to_date(b["n"]), F.upper(u["s"])
         months = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start) - (F.day(end) < F.day(start)).cast("int")
-        out = F.when(unit == "Y", F.floor(months / 12)).when(unit == "M", months).when(unit == "D", F.floor(b["n"]) - F.floor(a["n"]))
-        return F.when((a["n"] > b["n"]) | out.isNull(), v.err(v.NUM)).otherwise(v.number(out))
+        out = v.when(unit == "Y", F.floor(months / 12)).when(unit == "M", months).when(unit == "D", F.floor(b["n"]) - F.floor(a["n"]))
+        return v.when((a["n"] > b["n"]) | out.isNull(), v.err(v.NUM)).otherwise(v.number(out))
 
     return v.first_error([v.to_number(scalar(args[0], x)), v.to_number(scalar(args[1], x)), v.to_text(scalar(args[2], x))], made)
 
@@ -494,7 +503,7 @@ def _now_serial(x: Context) -> float:
 
 def _days(args: list, x: Context) -> Column:
     def made(e: Column, s: Column) -> Column:
-        return F.when((e["k"] == "err") | (s["k"] == "err"), v.err(v.VALUE)).otherwise(v.number(F.floor(e["n"]) - F.floor(s["n"])))
+        return v.when((e["k"] == "err") | (s["k"] == "err"), v.err(v.VALUE)).otherwise(v.number(F.floor(e["n"]) - F.floor(s["n"])))
 
     return v.lets([v.to_number(scalar(a, x)) for a in args], made)
 
@@ -508,7 +517,7 @@ def _matches(value: Column, cell: Column) -> Column:
 
 
 def _exact_place(value: Column, cells: list[Column]) -> Column:
-    out = F.when(F.lit(False), F.lit(0))
+    out = v.when(F.lit(False), F.lit(0))
     for i, c in enumerate(cells, 1):
         out = out.when(_matches(value, c), i)
     return out
@@ -524,7 +533,7 @@ def _scan_place(value: Column, cells: list[Column], ascending: bool = True) -> C
         same = e["c"]["k"] == value["k"]
         over = same & F.coalesce(v.compare(e["c"], value, past)["b"], F.lit(False))
         equal = same & F.coalesce(v.compare(e["c"], value, "=")["b"], F.lit(False))
-        at = F.when(a["done"] | ~same | over, a["at"]).otherwise(e["i"])
+        at = v.when(a["done"] | ~same | over, a["at"]).otherwise(e["i"])
         return F.struct(at.alias("at"), (a["done"] | over | equal).alias("done"))
 
     return F.nullif(F.aggregate(numbered, state, step)["at"], F.lit(0))
@@ -532,7 +541,7 @@ def _scan_place(value: Column, cells: list[Column], ascending: bool = True) -> C
 
 def _pick(cells: list[Column], place: Column) -> Column:
     found = F.get(F.array(*cells), (place - 1).cast("int"))
-    return F.when(place.isNull(), v.err(v.NA)).when(found["k"] == "blank", v.number(0.0)).otherwise(found)
+    return v.when(place.isNull(), v.err(v.NA)).when(found["k"] == "blank", v.number(0.0)).otherwise(found)
 
 
 def _picked(cells: list[Column], place: Column) -> Column:
@@ -546,9 +555,9 @@ def _vlookup(across: bool):
         near = scalar(args[3], x) if len(args) > 3 else v.boolean(True)
 
         def made(value: Column, index: Column, approximate: Column) -> Column:
-            place = F.when(approximate["b"], _scan_place(value, lines[0])).otherwise(_exact_place(value, lines[0]))
+            place = v.when(approximate["b"], _scan_place(value, lines[0])).otherwise(_exact_place(value, lines[0]))
             k = F.floor(index["n"])
-            out = F.when(k < 1, v.err(v.VALUE)).when(k > len(lines), v.err(v.REF))
+            out = v.when(k < 1, v.err(v.VALUE)).when(k > len(lines), v.err(v.REF))
             for i, line in enumerate(lines, 1):
                 out = out.when(k == i, _picked(line, place))
             return out
@@ -566,8 +575,8 @@ def _match(args: list, x: Context) -> Column:
     kind = scalar(args[2], x) if len(args) > 2 else v.number(1.0)
 
     def made(value: Column, k: Column) -> Column:
-        place = F.when(k["n"] == 0, _exact_place(value, cells)).when(k["n"] > 0, _scan_place(value, cells)).otherwise(_scan_place(value, cells, ascending=False))
-        return v.let(place, lambda p: F.when(p.isNull(), v.err(v.NA)).otherwise(v.number(p)))
+        place = v.when(k["n"] == 0, _exact_place(value, cells)).when(k["n"] > 0, _scan_place(value, cells)).otherwise(_scan_place(value, cells, ascending=False))
+        return v.let(place, lambda p: v.when(p.isNull(), v.err(v.NA)).otherwise(v.number(p)))
 
     return v.first_error([scalar(args[0], x), v.to_number(kind)], made)
 
@@ -582,8 +591,8 @@ def _index(args: list, x: Context) -> Column:
     def made(r: Column, c: Column) -> Column:
         r, c = F.greatest(F.floor(r), F.lit(1)), F.greatest(F.floor(c), F.lit(1))
         inside = (r <= len(g)) & (c <= len(g[0]))
-        found = F.get(F.array(*[cell for line in g for cell in line]), F.when(inside, (r - 1) * len(g[0]) + c - 1).otherwise(0).cast("int"))
-        return F.when(~inside, v.err(v.REF)).when(found["k"] == "blank", v.number(0.0)).otherwise(found)
+        found = F.get(F.array(*[cell for line in g for cell in line]), v.when(inside, (r - 1) * len(g[0]) + c - 1).otherwise(0).cast("int"))
+        return v.when(~inside, v.err(v.REF)).when(found["k"] == "blank", v.number(0.0)).otherwise(found)
 
     return v.on_numbers([row, column], made)
 
@@ -601,13 +610,13 @@ def _xlookup(args: list, x: Context) -> Column:
 
     def nearest(value: Column, larger: bool) -> Column:
         op = ">=" if larger else "<="
-        kept = [F.when((c["k"] == value["k"]) & v.compare(c, value, op)["b"], F.struct(c["n"].alias("n"), F.upper(c["s"]).alias("s"), c["b"].alias("b"), F.lit(i).alias("i"))) for i, c in enumerate(cells, 1)]
+        kept = [v.when((c["k"] == value["k"]) & v.compare(c, value, op)["b"], F.struct(c["n"].alias("n"), F.upper(c["s"]).alias("s"), c["b"].alias("b"), F.lit(i).alias("i"))) for i, c in enumerate(cells, 1)]
         found = F.filter(F.array(*kept), lambda e: e.isNotNull())
         return F.coalesce(_exact_place(value, cells), (F.array_min(found) if larger else F.array_max(found))["i"])
 
     def made(value: Column, m: Column) -> Column:
-        place = F.when(m["n"] == -1, nearest(value, False)).when(m["n"] == 1, nearest(value, True)).otherwise(_exact_place(value, cells))
-        return v.let(place, lambda p: F.when(p.isNull(), fallback).otherwise(_pick(returns, p)))
+        place = v.when(m["n"] == -1, nearest(value, False)).when(m["n"] == 1, nearest(value, True)).otherwise(_exact_place(value, cells))
+        return v.let(place, lambda p: v.when(p.isNull(), fallback).otherwise(_pick(returns, p)))
 
     return v.first_error([scalar(args[0], x), v.to_number(mode)], made)
 
@@ -632,7 +641,7 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list, Context], Column]]] = {
     "AVERAGE": (1, MANY, lambda a, x: _numbers(a, x, _average)),
     "MIN": (1, MANY, lambda a, x: _numbers(a, x, lambda n: v.number(F.coalesce(F.array_min(n), F.lit(0.0))))),
     "MAX": (1, MANY, lambda a, x: _numbers(a, x, lambda n: v.number(F.coalesce(F.array_max(n), F.lit(0.0))))),
-    "COUNT": (1, MANY, _count(lambda i: F.when(i["d"], v.to_number(i["v"])["k"] == "num").otherwise(i["v"]["k"] == "num"))),
+    "COUNT": (1, MANY, _count(lambda i: v.when(i["d"], v.to_number(i["v"])["k"] == "num").otherwise(i["v"]["k"] == "num"))),
     "COUNTA": (1, MANY, _count(lambda i: i["d"] | (i["v"]["k"] != "blank"))),
     "COUNTBLANK": (1, 1, _count(lambda i: (i["v"]["k"] == "blank") | F.coalesce(i["v"]["s"] == "", F.lit(False)))),
     "COUNTIF": (2, 2, _countifs),
@@ -649,7 +658,7 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list, Context], Column]]] = {
     "INT": (1, 1, _math(lambda n: v.number(F.floor(n)))),
     "ABS": (1, 1, _math(lambda n: v.number(F.abs(n)))),
     "SIGN": (1, 1, _math(lambda n: v.number(F.signum(n)))),
-    "SQRT": (1, 1, _math(lambda n: F.when(n < 0, v.err(v.NUM)).otherwise(v.number(F.sqrt(n))))),
+    "SQRT": (1, 1, _math(lambda n: v.when(n < 0, v.err(v.NUM)).otherwise(v.number(F.sqrt(n))))),
     "EXP": (1, 1, _math(lambda n: v.number(F.exp(n)))),
     "LN": (1, 1, _math(lambda n: v.number(F.ln(n)))),
     "LOG10": (1, 1, _math(lambda n: v.number(F.log10(n)))),
@@ -661,8 +670,8 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list, Context], Column]]] = {
     "FLOOR": (1, 2, _math(_multiple(False), 1.0)),
     "IF": (2, 3, _iff),
     "IFS": (2, MANY, _ifs_branches),
-    "IFERROR": (2, 2, lambda a, x: v.let(scalar(a[0], x), lambda c: F.when(c["k"] == "err", scalar(a[1], x)).otherwise(c))),
-    "IFNA": (2, 2, lambda a, x: v.let(scalar(a[0], x), lambda c: F.when(F.coalesce(c["e"] == v.NA, F.lit(False)), scalar(a[1], x)).otherwise(c))),
+    "IFERROR": (2, 2, lambda a, x: v.let(scalar(a[0], x), lambda c: v.when(c["k"] == "err", scalar(a[1], x)).otherwise(c))),
+    "IFNA": (2, 2, lambda a, x: v.let(scalar(a[0], x), lambda c: v.when(F.coalesce(c["e"] == v.NA, F.lit(False)), scalar(a[1], x)).otherwise(c))),
     "AND": (1, MANY, _logical(lambda b: F.forall(b, lambda i: i))),
     "OR": (1, MANY, _logical(lambda b: F.exists(b, lambda i: i))),
     "XOR": (1, MANY, _logical(lambda b: F.pmod(F.size(F.filter(b, lambda i: i)), F.lit(2)) == 1)),
@@ -710,16 +719,16 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list, Context], Column]]] = {
     "SEARCH": (2, 3, _text(_search, "ttn", 1.0)),
     "VALUE": (1, 1, _value),
     "TEXT": (2, 2, _text_format),
-    "CHAR": (1, 1, _math(lambda n: F.when((F.floor(n) < 1) | (F.floor(n) > 255), v.err(v.VALUE)).otherwise(v.text(F.char(F.floor(n)))))),
-    "CODE": (1, 1, _text(lambda s: F.when(s == "", v.err(v.VALUE)).otherwise(v.number(F.ascii(s))), "t")),
-    "T": (1, 1, lambda a, x: v.let(scalar(a[0], x), lambda c: F.when(c["k"].isin("text", "err"), c).otherwise(v.text("")))),
+    "CHAR": (1, 1, _math(lambda n: v.when((F.floor(n) < 1) | (F.floor(n) > 255), v.err(v.VALUE)).otherwise(v.text(F.char(F.floor(n)))))),
+    "CODE": (1, 1, _text(lambda s: v.when(s == "", v.err(v.VALUE)).otherwise(v.number(F.ascii(s))), "t")),
+    "T": (1, 1, lambda a, x: v.let(scalar(a[0], x), lambda c: v.when(c["k"].isin("text", "err"), c).otherwise(v.text("")))),
     "DATE": (3, 3, _math(_date)),
-    "TIME": (3, 3, _math(lambda h, m, s: v.let(F.floor(h) * 3600 + F.floor(m) * 60 + F.floor(s), lambda t: F.when(t < 0, v.err(v.NUM)).otherwise(v.number(F.pmod(t, F.lit(86_400)) / 86_400))))),
+    "TIME": (3, 3, _math(lambda h, m, s: v.let(F.floor(h) * 3600 + F.floor(m) * 60 + F.floor(s), lambda t: v.when(t < 0, v.err(v.NUM)).otherwise(v.number(F.pmod(t, F.lit(86_400)) / 86_400))))),
     "TODAY": (0, 0, lambda a, x: v.number(float(int(_now_serial(x))))),
     "NOW": (0, 0, lambda a, x: v.number(_now_serial(x))),
-    "YEAR": (1, 1, _on_date(lambda d, n: F.when(n == 0, 1900).otherwise(F.year(d)))),
-    "MONTH": (1, 1, _on_date(lambda d, n: F.when(n == 0, 1).when(n == 60, 2).otherwise(F.month(d)))),
-    "DAY": (1, 1, _on_date(lambda d, n: F.when(n == 0, 0).when(n == 60, 29).otherwise(F.day(d)))),
+    "YEAR": (1, 1, _on_date(lambda d, n: v.when(n == 0, 1900).otherwise(F.year(d)))),
+    "MONTH": (1, 1, _on_date(lambda d, n: v.when(n == 0, 1).when(n == 60, 2).otherwise(F.month(d)))),
+    "DAY": (1, 1, _on_date(lambda d, n: v.when(n == 0, 0).when(n == 60, 29).otherwise(F.day(d)))),
     "HOUR": (1, 1, _on_time(3600, 24)),
     "MINUTE": (1, 1, _on_time(60, 60)),
     "SECOND": (1, 1, _on_time(1, 60)),

@@ -82,7 +82,7 @@ def recalculate(table: DataFrame, inputs: Mapping[str, Column], formulas: Mappin
     order = plan(formulas)
     kept = {a: (stored or {}).get(a, v.blank()) for a in order.unsupported}
     rows = table.select("*", *[c.alias(f"_{a}") for a, c in {**inputs, **kept}.items()])
-    known = {a: F.col(f"_{a}") for a in [*inputs, *kept]}
+    known = {a: v.of_struct(F.col(f"_{a}"), v.kinds_of(c)) for a, c in {**inputs, **kept}.items()}
     for level in order.levels:
         made = {}
         for address in level:
@@ -90,7 +90,7 @@ def recalculate(table: DataFrame, inputs: Mapping[str, Column], formulas: Mappin
             context = Context(known, row=r, column=c) if now is None else Context(known, now, r, c)
             made[f"_{address}"] = compile_formula(formulas[address], context)
         rows = rows.withColumns(made)
-        known |= {a: F.col(f"_{a}") for a in level}
+        known |= {a: v.of_struct(F.col(f"_{a}"), v.kinds_of(made[f"_{a}"])) for a in level}
     return rows.select(*table.columns, *[F.col(f"_{a}").alias(a) for a in formulas])
 
 
