@@ -48,7 +48,7 @@ def _literal(criterion: float | str | bool, x: Column) -> Column:
     if op in (None, "=", "<>"):
         same = F.coalesce((x["k"] == "text") & x["s"].rlike(v.wildcard_regex(operand)), F.lit(False))
         return ~same if op == "<>" else same
-    a, b = F.upper(x["s"]), F.lit(operand.upper())
+    a, b = v.sorting(x["s"]), v.sorting(F.lit(operand))
     return (x["k"] == "text") & {"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
 
 
@@ -70,7 +70,7 @@ def _dynamic(criterion: Column, x: Column) -> Column:
         empty = (y["k"] == "blank") | ((y["k"] == "text") & (y["s"] == ""))
         same = F.when(operand == "", empty).when(n.isNotNull(), _equal_number(n, y)).when(F.upper(operand).isin("TRUE", "FALSE"), (y["k"] == "bool") & (y["b"] == (F.upper(operand) == "TRUE"))).otherwise((y["k"] == "text") & F.regexp_like(F.coalesce(y["s"], F.lit("")), F.concat(F.lit("(?is)^"), regex, F.lit("$"))))
         same = F.coalesce(same, F.lit(False))
-        sign = F.when(n.isNotNull() & (y["k"] == "num"), F.signum(y["n"] - n)).when(n.isNull() & (y["k"] == "text"), F.when(F.upper(y["s"]) < F.upper(operand), -1.0).when(F.upper(y["s"]) > F.upper(operand), 1.0).otherwise(0.0))
+        sign = F.when(n.isNotNull() & (y["k"] == "num"), F.signum(y["n"] - n)).when(n.isNull() & (y["k"] == "text"), F.when(v.sorting(y["s"]) < v.sorting(operand), -1.0).when(v.sorting(y["s"]) > v.sorting(operand), 1.0).otherwise(0.0))
         ordered = F.when(op == "<", sign < 0).when(op == ">", sign > 0).when(op == "<=", sign <= 0).when(op == ">=", sign >= 0)
         return F.coalesce(F.when(op.isin("", "="), same).when(op == "<>", ~same).otherwise(ordered), F.lit(False))
 

@@ -1,74 +1,64 @@
-"""Shortest edit scripts between sequences, in linear space."""
+"""Shortest edit scripts between sequences: longest common subsequences by divide and conquer over bit vectors.
+
+The lengths of the longest common subsequences of one sequence with every prefix of another come from a
+bit-parallel pass (a Python integer holds a row of the table, a bit where the length grows). Halving the
+first sequence and meeting the rows of both halves gives a point that a longest one passes, so space stays linear.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 
+import numpy as np
 
-def blocks(a: Sequence, b: Sequence) -> list[tuple[int, int, int, int]]:
-    """(start in a, deleted, start in b, inserted) of each difference, fewest deletions and insertions in all."""
+
+def _lengths(a: Sequence[int], b: Sequence[int]) -> np.ndarray:
+    """The length of the longest common subsequence of a with each prefix of b, the empty one first."""
+    places: dict[int, int] = defaultdict(int)
+    for j, k in enumerate(b):
+        places[k] |= 1 << j
+    every = (1 << len(b)) - 1
+    row = every
+    for k in a:
+        if met := row & places.get(k, 0):
+            row = (row + met | row - met) & every
+    grown = np.unpackbits(np.frombuffer((row ^ every).to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(grown)])
+
+
+def common(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+    """Places (in a, in b) of a longest common subsequence, ascending."""
     number: dict = {}
     x = [number.setdefault(k, len(number)) for k in a]
     y = [number.setdefault(k, len(number)) for k in b]
-    gone, added = [False] * len(x), [False] * len(y)
-    stack = [(0, len(x), 0, len(y))]
-    while stack:
-        a0, a1, b0, b1 = stack.pop()
-        while a0 < a1 and b0 < b1 and x[a0] == y[b0]:
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and x[a1 - 1] == y[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-        if a0 == a1 or b0 == b1:
-            gone[a0:a1] = [True] * (a1 - a0)
-            added[b0:b1] = [True] * (b1 - b0)
+    same = next((n for n, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    rest = min(len(x), len(y)) - same
+    tail = next((n for n in range(rest) if x[-1 - n] != y[-1 - n]), rest)
+    found = [(n, n) for n in range(same)] + [(len(x) - n, len(y) - n) for n in range(1, tail + 1)]
+    open_ = [(range(same, len(x) - tail), range(same, len(y) - tail))]
+    while open_:
+        rows, columns = open_.pop()
+        p, q = x[rows.start : rows.stop], y[columns.start : columns.stop]
+        if not p or not q:
             continue
-        i, j = _middle(x, a0, a1, y, b0, b1)
-        stack += [(a0, i, b0, j), (i, a1, j, b1)]
-    found, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        p, q = i, j
-        while i < len(x) and gone[i]:
-            i += 1
-        while j < len(y) and added[j]:
-            j += 1
-        if i > p or j > q:
-            found.append((p, i - p, q, j - q))
-        else:
-            i, j = i + 1, j + 1
-    return found
+        if len(p) == 1:
+            found += [(rows.start, columns.start + q.index(p[0]))] if p[0] in q else []
+            continue
+        half = len(p) // 2
+        at = int((_lengths(p[:half], q) + _lengths(p[half:][::-1], q[::-1])[::-1]).argmax())
+        open_ += [(rows[:half], columns[:at]), (rows[half:], columns[at:])]
+    return sorted(found)
 
 
-def _middle(x: list[int], a0: int, a1: int, y: list[int], b0: int, b1: int) -> tuple[int, int]:
-    """A point that an optimal path passes, where forward and backward searches meet."""
-    n, m = a1 - a0, b1 - b0
-    delta = n - m
-    # Furthest points by diagonal k, at k + z; -1 where none is known yet.
-    z = n + m + 1
-    forward, backward = [-1] * (2 * z + 1), [-1] * (2 * z + 1)
-    forward[z + 1] = backward[z + 1] = 0
-    odd = delta % 2 == 1
-    for d in range((n + m + 1) // 2 + 1):
-        for k in range(-d, d + 1, 2):
-            low, high = forward[z + k - 1], forward[z + k + 1]
-            i = high if k == -d or (k != d and low < high) else low + 1
-            j = i - k
-            while i < n and j < m and x[a0 + i] == y[b0 + j]:
-                i, j = i + 1, j + 1
-            forward[z + k] = i
-            c = delta - k
-            if odd and -d < c < d and i + backward[z + c] >= n and 0 <= j <= m and i <= n:
-                return a0 + i, b0 + j
-        for k in range(-d, d + 1, 2):
-            low, high = backward[z + k - 1], backward[z + k + 1]
-            i = high if k == -d or (k != d and low < high) else low + 1
-            j = i - k
-            while i < n and j < m and x[a1 - 1 - i] == y[b1 - 1 - j]:
-                i, j = i + 1, j + 1
-            backward[z + k] = i
-            c = delta - k
-            if not odd and -d <= c <= d and i + forward[z + c] >= n and 0 <= j <= m and i <= n:
-                return a1 - i, b1 - j
-    raise AssertionError("the searches meet")
+def blocks(a: Sequence, b: Sequence) -> list[tuple[int, int, int, int]]:
+    """(start in a, deleted, start in b, inserted) of each difference, fewest deletions and insertions in all."""
+    out, i, j = [], 0, 0
+    for p, q in [*common(a, b), (len(a), len(b))]:
+        if p > i or q > j:
+            out.append((i, p - i, j, q - j))
+        i, j = p + 1, q + 1
+    return out
 
 
 def inline(a: Sequence[str], b: Sequence[str]) -> list[tuple[str, str, int | None, int | None]]:

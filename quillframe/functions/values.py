@@ -27,7 +27,7 @@ MAX_TEXT = 32767
 #: Length of an expression, as text, up to which it is repeated rather than bound.
 LIGHT_VALUE, LIGHT = 2500, 160
 #: Expressions that are bound at any length: a row pays much for each.
-DEAR = re.compile("format_string|lambda|transform|filter|aggregate|date_format", re.I)
+DEAR = re.compile("format_string|lambda|split|transform|filter|aggregate|date_format", re.I)
 FIELDS = {"n": ("num", "double"), "s": ("text", "string"), "b": ("bool", "boolean"), "e": ("err", "string")}
 KINDS = frozenset({"blank", "num", "text", "bool", "err"})
 
@@ -314,6 +314,22 @@ def on_texts(values: list[Column], body: Callable[..., Column]) -> Column:
     return first_error([to_text(v) for v in values], lambda *xs: body(*[x["s"] for x in xs]))
 
 
+def upper(s: Column) -> Column:
+    """Capitals, character by character: one that would become several, such as a sharp s, stays."""
+    one = F.array_join(F.transform(F.split(s, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+    return F.when(F.length(F.upper(s)) == F.length(s), F.upper(s)).otherwise(one)
+
+
+def fold(s: Column) -> Column:
+    """A text without its case, one character for one: texts are equal without regard to case if these are."""
+    return F.translate(F.lower(s), "\u03c2", "\u03c3")
+
+
+def sorting(s: Column) -> Column:
+    """What texts are ordered by without regard to case; equal only where the folded texts are."""
+    return F.struct(F.upper(s).alias("u"), fold(s).alias("f"))
+
+
 def _rank(x: Column) -> Column:
     return F.when(_is(x, "num"), 0).when(_is(x, "text"), 1).otherwise(2)
 
@@ -328,7 +344,8 @@ def compare(a: Column, b: Column, op: str) -> Column:
         if kinds <= {"num", "blank"}:
             return boolean(tests[op](*[F.coalesce(p["n"], F.lit(0.0)) if "blank" in kinds_of(p) else p["n"] for p in (x, y)]))
         if kinds <= {"text", "blank"}:
-            return boolean(tests[op](*[F.upper(F.coalesce(p["s"], F.lit("")) if "blank" in kinds_of(p) else p["s"]) for p in (x, y)]))
+            key = fold if op in ("=", "<>") else sorting
+            return boolean(tests[op](*[key(F.coalesce(p["s"], F.lit("")) if "blank" in kinds_of(p) else p["s"]) for p in (x, y)]))
 
         def filled(p: Column, q: Column) -> Column:
             if "blank" not in kinds_of(p):
@@ -339,7 +356,7 @@ def compare(a: Column, b: Column, op: str) -> Column:
         def ordered(p: Column, q: Column) -> Column:
             sign = F.when(_rank(p) != _rank(q), F.when(_rank(p) < _rank(q), -1).otherwise(1))
             by = lambda f, g: F.when(f < g, -1).when(f > g, 1).otherwise(0)
-            sign = sign.when(_is(p, "num"), by(p["n"], q["n"])).when(_is(p, "text"), by(F.upper(p["s"]), F.upper(q["s"])))
+            sign = sign.when(_is(p, "num"), by(p["n"], q["n"])).when(_is(p, "text"), by(sorting(p["s"]), sorting(q["s"])))
             return boolean(tests[op](sign.otherwise(by(p["b"].cast("int"), q["b"].cast("int"))), F.lit(0)))
 
         return lets([filled(x, y), filled(y, x)], ordered)

@@ -226,29 +226,35 @@ def digits15(n: Column) -> Column:
     return F.format_string("%.14e", n).cast("double")
 
 
-def _round(n: Column, d: Column) -> Column:
-    """Half away from zero on the 15-digit value."""
+def _scaled(n: Column, d: Column, rounded: Callable[[Column, Column], Column]) -> Column:
+    """rounded(size of n in units of its last digit kept, the power of ten); n itself where a double has no such digit."""
+    places = v.when(d < 0, F.ceil(F.greatest(d, F.lit(-308.0)))).otherwise(F.floor(F.least(d, F.lit(308.0)))).cast("double")
 
-    def made(scale: Column, at: Column) -> Column:
-        scaled = F.abs(n) * scale
-        return v.when((at > 15) | (scaled >= 1e15), n).otherwise(F.signum(n) * F.floor(digits15(scaled) + 0.5) / scale)
+    def made(scale: Column) -> Column:
+        size = F.abs(n) * scale
+        return v.when((size >= 1e15) | (scale > 1e28), n).otherwise(F.try_divide(F.signum(n) * rounded(size, scale), scale))
 
-    return v.lets([F.pow(F.lit(10.0), F.floor(d)), d], made)
+    return v.let(F.pow(F.lit(10.0), places), made)
 
 
-def _toward(n: Column, d: Column, up: bool) -> Column:
-    def made(scale: Column) -> Column:
-        scaled = F.round(F.abs(n) * scale, 9)
-        return F.signum(n) * (F.ceil(scaled) if up else F.floor(scaled)).cast("double") / scale
+def _round(n: Column, d: Column) -> Column:
+    """Half away from zero on the 15-digit value; digits are cut to whole ones."""
+    return _scaled(n, d, lambda size, scale: F.floor(digits15(size) + 0.5).cast("double"))
+
 
-    return v.let(F.pow(F.lit(10.0), F.floor(d)), made)
+def _toward(n: Column, d: Column, up: bool) -> Column:
+    """Away from zero or towards it, on the value at nine decimals; the least remainder counts upwards."""
+    whole = (lambda x: F.ceil(F.greatest(F.round(x, 9), v.when(x > 0, F.lit(1e-9)).otherwise(F.lit(0.0))))) if up else (lambda x: F.floor(F.round(x, 9)))
+    return _scaled(n, d, lambda size, scale: whole(size).cast("double"))
 
 
 def _multiple(up: bool):
     def made(n: Column, s: Column) -> Column:
-        q = F.round(F.try_divide(n, s), 9)
-        whole = (F.ceil(q) if up else F.floor(q)).cast("double")
-        return v.when(s == 0, v.number(0.0) if up else v.when(n == 0, v.number(0.0)).otherwise(v.err(v.DIV0))).when((n > 0) & (s < 0), v.err(v.NUM)).otherwise(v.number(digits15(whole * s)))
+        ratio = F.try_divide(n, s)
+        q = F.round(ratio, 9)
+        whole = v.when(F.abs(ratio) >= 1e15, ratio).otherwise((F.ceil(q) if up else F.floor(q)).cast("double")) * s
+        kept = v.when((F.abs(whole) >= 1e-9) & (F.abs(whole) < 1e15), digits15(whole)).otherwise(whole)
+        return v.when(s == 0, v.when(n == 0, v.number(0.0)).otherwise(v.err(v.DIV0))).when((n > 0) & (s < 0), v.err(v.NUM)).otherwise(v.number(kept))
 
     return made
 
@@ -610,7 +616,7 @@ def _xlookup(args: list, x: Context) -> Column:
 
     def nearest(value: Column, larger: bool) -> Column:
         op = ">=" if larger else "<="
-        kept = [v.when((c["k"] == value["k"]) & v.compare(c, value, op)["b"], F.struct(c["n"].alias("n"), F.upper(c["s"]).alias("s"), c["b"].alias("b"), F.lit(i).alias("i"))) for i, c in enumerate(cells, 1)]
+        kept = [v.when((c["k"] == value["k"]) & v.compare(c, value, op)["b"], F.struct(c["n"].alias("n"), v.sorting(c["s"]).alias("s"), c["b"].alias("b"), F.lit(i).alias("i"))) for i, c in enumerate(cells, 1)]
         found = F.filter(F.array(*kept), lambda e: e.isNotNull())
         return F.coalesce(_exact_place(value, cells), (F.array_min(found) if larger else F.array_max(found))["i"])
 
@@ -707,7 +713,7 @@ FUNCTIONS: dict[str, tuple[int, int, Callable[[list, Context], Column]]] = {
     "RIGHT": (1, 2, _text(_right, "tn", 1.0)),
     "MID": (3, 3, _text(_mid, "tnn")),
     "LEN": (1, 1, _text(lambda s: v.number(_units(s)), "t")),
-    "UPPER": (1, 1, _text(lambda s: v.text(F.upper(s)), "t")),
+    "UPPER": (1, 1, _text(lambda s: v.text(v.upper(s)), "t")),
     "LOWER": (1, 1, _text(lambda s: v.text(F.lower(s)), "t")),
     "PROPER": (1, 1, _text(_proper, "t")),
     "TRIM": (1, 1, _text(lambda s: v.text(F.regexp_replace(F.regexp_replace(s, "^ +| +$", ""), " +", " ")), "t")),

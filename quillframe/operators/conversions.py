@@ -6,6 +6,7 @@ the limits of its file; the sheet's cap is checked before anything is laid out.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,33 +135,27 @@ def _places(left: pd.Series, bottom: pd.Series, right: pd.Series, top: pd.Series
 
 
 def _page_places(left: list[float], bottom: list[float], right: list[float], top: list[float]) -> list[int]:
-    found: list[int] = []
-    upper, lower = [-x for x in top], [-x for x in bottom]
-    waiting = [list(range(len(left)))]
-    while waiting:
-        some = waiting.pop()
-        by_row, row_gap = _bands(some, upper, lower)
-        by_column, column_gap = _bands(some, left, right)
-        cut = by_row if len(by_row) > 1 and (len(by_column) == 1 or row_gap >= column_gap) else by_column
-        if len(cut) > 1:
-            waiting += reversed(cut)
-        else:
-            found += sorted(some, key=lambda i: (upper[i], left[i], i))
-    places = [0] * len(found)
-    for n, i in enumerate(found, 1):
-        places[i] = n
-    return places
-
-
-def _bands(some: list[int], begin: list[float], end: list[float]) -> tuple[list[list[int]], float]:
-    """Groups of boxes between the white bands of one axis, and the widest band."""
-    widest, reach = 0.0, float("-inf")
-    groups: list[list[int]] = []
-    for i in sorted(some, key=lambda i: begin[i]):
-        if groups and begin[i] <= reach:
-            groups[-1].append(i)
-        else:
-            widest = max(widest, begin[i] - reach) if groups else widest
-            groups.append([i])
-        reach = max(reach, end[i])
-    return groups, widest
+    x0, x1 = np.array(left, float), np.array(right, float)
+    depth0, depth1 = (np.max(top, initial=0.0) - np.array(c, float) for c in (top, bottom))
+    parts, whole = [np.arange(len(x0))], []
+    while len(whole) != len(parts):  # each round cuts every part that has a band, where it stands
+        whole = parts
+        parts = [p for part in whole for p in _cut(part, depth0, depth1, x0, x1)]
+    order = np.concatenate([part[np.lexsort((part, x0[part], depth0[part]))] for part in parts])
+    places = np.empty(len(order), int)
+    places[order] = np.arange(1, len(order) + 1)
+    return places.tolist()
+
+
+def _cut(part: np.ndarray, depth0: np.ndarray, depth1: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> list[np.ndarray]:
+    """A part at its white bands, rows or columns, whichever has the widest one; rows on a tie."""
+    rows, row_band = _at_bands(part, depth0, depth1)
+    columns, column_band = _at_bands(part, x0, x1)
+    return rows if row_band >= column_band else columns
+
+
+def _at_bands(part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Boxes between the white bands of one axis: a band lies where the next box begins behind all before it; and the widest band, 0 for none."""
+    part = part[np.argsort(begin[part], kind="stable")]
+    bands = begin[part][1:] - np.maximum.accumulate(end[part])[:-1]
+    return np.split(part, np.flatnonzero(bands > 0) + 1), float(bands.max(initial=0.0))

@@ -51,7 +51,16 @@ def note_numbers(references: DataFrame, restart: str = "doc") -> DataFrame:
     keys = {"doc": ["doc"], "section": ["doc", "section"], "page": ["doc", "section", "page"]}[restart]
     first = references.groupBy(*keys, "note").agg(F.min("pos").alias("_first"))
     numbered = first.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))).drop("_first")
-    return references.join(numbered, [*keys, "note"])
+    return _joined(references, numbered, [*keys, "note"])
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right at equal keys, where null equals null."""
+    other = right.select(*[F.col(k).alias(f"{k}*") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(other[f"{k}*"])
+    return left.join(other, same).drop(*[f"{k}*" for k in keys])
 
 
 def page_fields(pages: DataFrame) -> DataFrame:
@@ -105,14 +114,28 @@ def page_text(words: DataFrame) -> DataFrame:
     return line.groupBy("doc", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda c: c["text"]), "\n").alias("text"))
 
 
+#: Words that stand before a page's number, or between it and the number of pages.
+PAGE_WORDS, NUMBER_JOINERS = ("page",), ("/", "of", "sur", "de")
+#: Characters of a page number's line at most.
+PAGE_NUMBER_LENGTH = 15
+
+
+def page_number(text: Column) -> Column:
+    """Whether a short line is a page's number: after a word for it or not, with the number of pages or not, dashes around or between."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit("[0-9]+|\\p{L}+|[^\\s0-9\\p{L}]"), F.lit(0))
+    sign = lambda t: F.when(t.rlike("[0-9]"), F.lit("9")).when(t.isin(*PAGE_WORDS), F.lit("p")).when(t.isin(*NUMBER_JOINERS), F.lit("j")).otherwise(F.lit("?"))
+    shape = F.array_join(F.transform(F.filter(tokens, lambda t: ~t.isin("-", "\u2013")), sign), "")
+    return (F.length(F.trim(text)) <= PAGE_NUMBER_LENGTH) & shape.isin("9", "p9", "9j9", "p9j9")
+
+
 def decorations(lines: DataFrame) -> DataFrame:
-    """lines (doc, page, text) with ``decoration``: digits masked, the same line stands on max(2, half) of the document's pages, or it is a page number."""
-    masked = lines.withColumn("_key", F.trim(F.regexp_replace("text", "[0-9]+", "#")))
-    pages = lines.groupBy("doc").agg(F.count_distinct("page").alias("_pages"))
-    keys = masked.groupBy("doc", "_key").agg(F.count_distinct("page").alias("_on"))
-    joined = masked.join(keys, ["doc", "_key"]).join(pages, "doc")
-    number = F.lower("text").rlike("^\\s*[-–]?\\s*(page\\s*)?[0-9]+(\\s*(/|of|sur|de)\\s*[0-9]+)?\\s*[-–]?\\s*$")
-    return joined.withColumn("decoration", (F.col("_on") >= F.greatest(F.lit(2), F.ceil(F.col("_pages") / 2))) | number).select(*lines.columns, "decoration")
+    """lines (doc, page, text) with ``decoration``: digits masked, the same line stands on max(2, half) of the document's pages, or it is a page number. A null text is none."""
+    masked = lines.select(F.struct(*[F.col(f"`{c}`") for c in lines.columns]).alias("row"), "doc", "page", F.trim(F.regexp_replace("text", "[0-9]+", "#")).alias("key"))
+    pages = lines.groupBy("doc").agg(F.count_distinct("page").alias("pages"))
+    keys = masked.groupBy("doc", "key").agg(F.count_distinct("page").alias("on"))
+    joined = _joined(_joined(masked, keys, ["doc", "key"]), pages, ["doc"])
+    often = F.col("key").isNotNull() & (F.col("on") >= F.greatest(F.lit(2), F.ceil(F.col("pages") / 2)))
+    return joined.select(*[F.col("row")[c].alias(c) for c in lines.columns], (often | F.coalesce(page_number(F.col("row")["text"]), F.lit(False))).alias("decoration"))
 
 
 def redacted_letters(letters: DataFrame, areas: DataFrame) -> DataFrame:

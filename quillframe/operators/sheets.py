@@ -102,21 +102,24 @@ def column_widths(shown: DataFrame, *keys: str) -> DataFrame:
     return shown.groupBy(*keys, "col").agg(F.greatest(F.lit(8), F.least(F.lit(80), F.max(F.length("shown")))).alias("width"))
 
 
+def _key_of(table: DataFrame, name: str) -> Column:
+    """A column as a lookup key: texts without regard to case."""
+    return v.fold(F.col(name)) if dict(table.dtypes)[name] == "string" else F.col(name)
+
+
 def first_by_key(table: DataFrame, key: str, position: str) -> DataFrame:
-    """The first row of each key (upper-cased text or number) in row order, with its key as ``_key``; a hot key is combined before its shuffle."""
+    """The first row of each key (folded text or number) in row order, with its key as ``_key``; a hot key is combined before its shuffle."""
     rest = [c for c in table.columns if c != position]
-    folded = F.upper(key) if dict(table.dtypes)[key] == "string" else F.col(key)
-    picked = table.where(F.col(key).isNotNull()).groupBy(folded.alias("_key")).agg(F.min_by(F.struct(*rest), F.col(position)).alias("_row"))
+    picked = table.where(F.col(key).isNotNull()).groupBy(_key_of(table, key).alias("_key")).agg(F.min_by(F.struct(*rest), F.col(position)).alias("_row"))
     return picked.select("_key", *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def exact_lookup(left: DataFrame, value: str, table: DataFrame, key: str, position: str, result: str, out: str = "found", missing: str = v.NA) -> DataFrame:
-    """left with ``out``: result of the first row of table whose key equals value (texts without regard to case), as text; missing where there is none. A blank hit is 0."""
-    right = first_by_key(table.select(key, position, result), key, position).select("_key", F.col(result).alias("_result"), F.lit(True).alias("_hit"))
-    folded = F.upper(value) if dict(left.dtypes)[value] == "string" else F.col(value)
-    joined = left.withColumn("_value", folded).join(right, F.col("_value") == F.col("_key"), "left")
-    shown = F.when(F.col("_hit").isNull(), F.lit(missing)).otherwise(F.coalesce(F.col("_result").cast("string"), F.lit("0")))
-    return joined.withColumn(out, shown).drop("_value", "_key", "_result", "_hit")
+    """left with ``out``: result of the first row of table whose key equals value (texts without regard to case), as text; missing where there is none. A blank hit is 0. Columns of left keep their names and values."""
+    right = first_by_key(table.select(key, position, result), key, position).select(F.col("_key").alias("key"), F.coalesce(F.col(result).cast("string"), F.lit("0")).alias("shown"))
+    rows = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("row"), _key_of(left, value).alias("value"))
+    joined = rows.join(right, F.col("value") == F.col("key"), "left")
+    return joined.select(*[F.col("row")[c].alias(c) for c in left.columns if c != out], F.coalesce("shown", F.lit(missing)).alias(out))
 
 
 def wildcard_lookup(left: DataFrame, patterns: dict[str, str], s: str, out: str = "found") -> DataFrame:

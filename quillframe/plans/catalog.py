@@ -112,9 +112,47 @@ def wildcard_lookup(spark, sf_dir):
     return sheets.wildcard_lookup(_read(spark, sf_dir, "part"), {"brass": "*brass", "steel": "*steel", "economy": "eco*"}, "p_type", out="metal").select("p_partkey", "metal")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def not_in_list(spark, sf_dir):
-    return sheets.in_list(_read(spark, sf_dir, "customer"), "c_nationkey", _read(spark, sf_dir, "supplier").withColumn("s_nationkey", F.col("s_nationkey").cast("string")), "s_nationkey", anti=True).select("c_custkey")
+    large = _read(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").cast("string").alias("o_custkey"))
+    return sheets.in_list(_read(spark, sf_dir, "customer"), "c_custkey", large, "o_custkey", anti=True).select("c_custkey")
+
+
+@query("""
+WITH first AS (SELECT lower(p_type) AS k, min_by(p_name, p_partkey) AS shown FROM part GROUP BY ALL)
+SELECT p_partkey, coalesce(shown, '#N/A') AS first_name FROM part LEFT JOIN first ON k = lower(CASE WHEN p_partkey % 3 = 0 THEN p_type || '?' ELSE upper(p_type) END)
+""")
+def folded_lookup(spark, sf_dir):
+    """A lookup without regard to case, with misses."""
+    parts = _read(spark, sf_dir, "part")
+    asked = parts.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("?"))).otherwise(F.upper("p_type")).alias("asked"))
+    return sheets.exact_lookup(asked, "asked", parts, "p_type", "p_partkey", "p_name", out="first_name").select("p_partkey", "first_name")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, q BETWEEN 0 AND 1e9 AS is_num, (l_linenumber = 1) AS is_err, (l_linenumber % 2 = 1) AS odd,
+       (l_returnflag = 'N' OR l_linenumber = 7) AS either, NOT (l_returnflag = 'N') AS no, t + f AS together,
+       (q + t + l_linenumber) / 3 AS mean, CAST(3 AS DOUBLE) AS n, q * t AS product, CASE WHEN q > 20 THEN q ELSE 0 END + CASE WHEN l_linenumber > 20 THEN l_linenumber ELSE 0 END AS above
+FROM (SELECT *, l_quantity AS q, l_tax AS t, CAST(length(l_returnflag) AS DOUBLE) AS f FROM lineitem)
+""")
+def list_aggregates(spark, sf_dir):
+    """Information functions, logic and aggregates over a row's range."""
+    a = {"A1": num("l_quantity"), "A2": num("l_tax"), "A3": v.from_column(F.col("l_linenumber").cast("double"), "num"), "B1": txt("l_returnflag")}
+    flags = {"is_num": "=ISNUMBER(A1)", "is_err": "=ISERROR(1/(A3-1))", "odd": "=ISODD(A3)", "either": '=OR(B1="n",A3=7)', "no": '=NOT(B1="N")'}
+    numbers = {"together": "=A2+LEN(B1)", "mean": "=AVERAGE(A1:A3)", "n": "=COUNT(A1:B3)", "product": "=PRODUCT(A1:A2)", "above": '=SUMIF(A1:A3,">20")'}
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[_formula(f, **a)["b"].alias(k) for k, f in flags.items()], *[_n(f, **a).alias(k) for k, f in numbers.items()])
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN m <= 2 THEN 'low' WHEN m <= 5 THEN 'mid' ELSE 'high' END AS near, CASE m WHEN 3 THEN 'three' WHEN 7 THEN 'seven' ELSE '#N/A' END AS exact,
+       CAST(CASE m WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE -1 END AS DOUBLE) AS place, CASE WHEN m <= 3 THEN 'three' WHEN m <= 7 THEN 'seven' ELSE 'none' END AS larger, CASE WHEN m < 3 THEN 'none' WHEN m < 7 THEN 'three' ELSE 'seven' END AS smaller
+FROM (SELECT *, month(o_orderdate) AS m FROM orders)
+""")
+def small_lookups(spark, sf_dir):
+    """Lookups in small ranges of a sheet: VLOOKUP, INDEX with MATCH, XLOOKUP with the next larger and the next smaller key."""
+    a = {"A1": v.from_column(F.month("o_orderdate").cast("double"), "num")}
+    made = {"near": '=VLOOKUP(A1,{1,"low";3,"mid";6,"high"},2)', "exact": '=VLOOKUP(A1,{3,"three";7,"seven"},2,FALSE)', "larger": '=XLOOKUP(A1,{3,7},{"three","seven"},"none",1)', "smaller": '=XLOOKUP(A1,{3,7},{"three","seven"},"none",-1)'}
+    return _read(spark, sf_dir, "orders").select("o_orderkey", *[_s(f, **a).alias(k) for k, f in made.items()], _n("=IFERROR(INDEX({1,2},MATCH(A1,{3,7},0)),-1)", **a).alias("place"))
 
 
 @query("""

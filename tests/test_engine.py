@@ -10,6 +10,7 @@ from quillframe.functions import cells, csvtext, diff, formats, html, images, ma
 from quillframe.functions import values as v
 from quillframe.functions.formula import FormulaError, UnsupportedFormula, parse
 from quillframe.functions.worksheet import FUNCTIONS, Context, compile_formula
+from quillframe.operators import sheets
 from quillframe.sources import files
 
 FORMULAS = {
@@ -115,6 +116,22 @@ def test_markdown(source, made):
     assert markdown.to_html(source) == made
 
 
+def test_rounding_at_the_edges(spark):
+    cases = [("=ROUND(2.5,-400)", 0.0), ("=ROUND(15,-1.5)", 20.0), ("=ROUND(-1.5,0.9)", -2.0), ("=ROUND(1.005,2)", 1.01), ("=ROUNDUP(2.1,-400)", 1e308), ("=ROUNDDOWN(2.9,-400)", 0.0), ("=ROUNDUP(1E-12,0)", 1.0), ("=TRUNC(-7.89,1)", -7.8), ("=ROUND(1.5,400)", 1.5), ("=CEILING(0,0)", 0.0), ("=FLOOR(7,2)", 6.0), ("=CEILING(-7,2)", -6.0), ("=CEILING(0.7,0.1)", 0.7)]
+    made = [compile_formula(f, Context({}))["n"].alias(f"c{k}") for k, (f, _) in enumerate(cases)]
+    assert list(spark.range(1).select(*made).first()) == [x for _, x in cases]
+    assert [spark.range(1).select(compile_formula(f, Context({}))["e"].alias("e")).first().e for f in ("=CEILING(5,0)", "=FLOOR(5,0)", "=CEILING(5,-1)")] == ["#DIV/0!", "#DIV/0!", "#NUM!"]
+
+
+def test_texts_fold_one_character_for_one(spark):
+    row = spark.range(1).select(*[compile_formula(f, Context({}))["b"].alias(f"c{k}") for k, f in enumerate(('="STRASSE"="Straße"', '="ΣΑΣ"="σας"', '="Ä"="ä"', '="a"<"B"', '="STRASSE"<>"Straße"'))], compile_formula('=UPPER("straße")', Context({}))["s"].alias("u")).first()
+    assert list(row) == [False, True, True, True, True, "STRAßE"]
+    left = spark.createDataFrame([("STRASSE", "mine"), ("STRAßE", "x"), (None, "y")], "word string, _key string")
+    table = spark.createDataFrame([("Straße", 1, "hit")], "k string, pos int, r string")
+    found = sheets.exact_lookup(left, "word", table, "k", "pos", "r")
+    assert sorted(map(tuple, found.collect()), key=repr) == [("STRASSE", "mine", "#N/A"), ("STRAßE", "x", "hit"), (None, "y", "#N/A")]
+
+
 def test_diff_is_shortest():
     r = random.Random(3)
     for _ in range(300):
@@ -241,6 +258,11 @@ def test_layout_rules(spark):
     assert sorted((r.category, r.series, r.low, r.high) for r in layout.stacked(points).collect()) == [("a", 1, 0.0, 2.0), ("a", 2, -1.0, 0.0), ("a", 3, 2.0, 5.0), ("b", 1, 0.0, 0.0)]
     lines = spark.createDataFrame([("d", p, t) for p in (1, 2, 3) for t in (f"Report {p}", f"text {chr(96 + p)}", f"- {p} -")], "doc string, page int, text string")
     assert {r.text for r in layout.decorations(lines).where("decoration").collect()} == {f"Report {p}" for p in (1, 2, 3)} | {f"- {p} -" for p in (1, 2, 3)}
+    numbers = ["7", "- 7 -", "Page 7", "page 7 of 12", "7/12", "Page - 3", "3 sur 9", "1 of 20000000000000", "page", "7 8", "chapter 7", "7 of", "", None]
+    alone = spark.createDataFrame([(f"d{k}", 1, t) for k, t in enumerate(numbers)], "doc string, page int, text string")
+    assert [r.decoration for r in sorted(layout.decorations(alone).collect(), key=lambda r: int(r.doc[1:]))] == [True] * 7 + [False] * 7
+    loose = spark.createDataFrame([("d", None, 1, 10, "x"), ("d", None, 1, 20, "y"), (None, 1, 1, 5, None)], "doc string, section int, page int, pos int, note string")
+    assert sorted((r.pos, r.number) for r in layout.note_numbers(loose, "section").collect()) == [(5, 1), (10, 1), (20, 2)]
     refs = spark.createDataFrame([("d", 1, 1, 10, "x"), ("d", 1, 1, 20, "y"), ("d", 2, 2, 30, "x")], "doc string, section int, page int, pos int, note string")
     assert [r.number for r in layout.note_numbers(refs).orderBy("pos").collect()] == [1, 2, 1] and [r.number for r in layout.note_numbers(refs, "section").orderBy("pos").collect()] == [1, 2, 1]
 
