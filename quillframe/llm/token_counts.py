@@ -11,8 +11,8 @@ Pieces come from a public vocabulary of ranked pieces; a piece of rank r has the
 ``-log(r + 2)``, the law that word frequencies follow nearly. A character that no piece covers costs
 ``UNKNOWN`` per byte and counts as many tokens as UTF-8 bytes, as byte fallback has it.
 
-A worker remembers counts of words and the trie up to ``most`` nodes (some 350 bytes each); beyond that
-both start anew, which changes no count. Null and empty texts have no tokens. Repeated rows give repeated rows, an
+A worker remembers the trie up to ``most`` nodes (some 350 bytes each) and as many counts of words (some 110
+bytes each, those of the last half kept when it is full); a trie that starts anew changes no count. Null and empty texts have no tokens. Repeated rows give repeated rows, an
 empty table an empty result. Other columns are not read.
 """
 
@@ -46,14 +46,16 @@ def scores(path: str) -> dict[str, float]:
 class SharedTrie:
     """Nodes are dicts of child nodes by character; None holds a node's (score, tokens)."""
 
-    def __init__(self, pieces: dict[str, float], most: int = 600_000):
+    def __init__(self, pieces: dict[str, float], most: int = 800_000):
         self.most, self.longest = most, max(map(len, pieces), default=0)
         self.pieces = pieces
+        self.known: dict[bytes, int] = {}
+        self.before: dict[bytes, int] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.root: dict = {None: (0.0, 0)}
-        self.nodes, self.known = 1, {}
+        self.nodes = 1
 
     def count(self, word: str) -> int:
         """Tokens of the best segmentation of a pre-token."""
@@ -79,17 +81,20 @@ class SharedTrie:
     def counts(self, words: list[bytes]) -> np.ndarray:
         if self.nodes > self.most:
             self._forget()
-        known = self.known
+        if len(self.known) > self.most // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         for w in words:
             if w not in known:
-                known[w] = self.count(MARK + w.decode("utf-8", "replace")) if w else 0
+                met = before.get(w)
+                known[w] = met if met is not None else self.count(MARK + w.decode("utf-8", "replace")) if w else 0
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def _counter(path: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = kept(f"trie {path}", lambda: SharedTrie(scores(path), most))
-        for part in slices(batches):
+        for part in slices(batches, most=8 << 20):
             words = pc.ascii_split_whitespace(_as_text(part.column("text").fill_null(b"")))
             bounds = words.offsets.to_numpy()
             bounds = bounds - bounds[0]
@@ -103,6 +108,6 @@ def _counter(path: str, most: int):
     return run
 
 
-def count_tokens(docs: DataFrame, path: str, most: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, most: int = 800_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and n_pre_tokens of each row."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_counter(path, most), "doc_id long, n_tokens long, n_pre_tokens long")
+    return id_and_text(docs, id_col, text_col, 8 << 20).mapInArrow(_counter(path, most), "doc_id long, n_tokens long, n_pre_tokens long")
