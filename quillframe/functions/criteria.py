@@ -65,10 +65,8 @@ def _dynamic(criterion: Column, x: Column) -> Column:
         op = F.regexp_extract(whole, "^(<=|>=|<>|=|<|>)?", 1)
         operand = F.regexp_replace(whole, "^(<=|>=|<>|=|<|>)", "")
         n = v.parse_number(operand)
-        quoted = F.regexp_replace(operand, "([\\\\^$.|+()\\[\\]{}])", "\\\\$1")
-        regex = F.regexp_replace(F.regexp_replace(F.regexp_replace(quoted, "(?<!~)\\*", ".*"), "(?<!~)\\?", "."), "~([*?~])", "\\\\$1")
         empty = (y["k"] == "blank") | ((y["k"] == "text") & (y["s"] == ""))
-        same = F.when(operand == "", empty).when(n.isNotNull(), _equal_number(n, y)).when(F.upper(operand).isin("TRUE", "FALSE"), (y["k"] == "bool") & (y["b"] == (F.upper(operand) == "TRUE"))).otherwise((y["k"] == "text") & F.regexp_like(F.coalesce(y["s"], F.lit("")), F.concat(F.lit("(?is)^"), regex, F.lit("$"))))
+        same = F.when(operand == "", empty).when(n.isNotNull(), _equal_number(n, y)).when(F.upper(operand).isin("TRUE", "FALSE"), (y["k"] == "bool") & (y["b"] == (F.upper(operand) == "TRUE"))).otherwise((y["k"] == "text") & F.regexp_like(F.coalesce(y["s"], F.lit("")), v.wildcard_pattern(operand)))
         same = F.coalesce(same, F.lit(False))
         sign = F.when(n.isNotNull() & (y["k"] == "num"), F.signum(y["n"] - n)).when(n.isNull() & (y["k"] == "text"), F.when(v.sorting(y["s"]) < v.sorting(operand), -1.0).when(v.sorting(y["s"]) > v.sorting(operand), 1.0).otherwise(0.0))
         ordered = F.when(op == "<", sign < 0).when(op == ">", sign > 0).when(op == "<=", sign <= 0).when(op == ">=", sign >= 0)

@@ -400,5 +400,11 @@ def wildcard_regex(pattern: str) -> str:
     return "(?is)^" + "".join(out) + "$"
 
 
+def wildcard_pattern(s: Column) -> Column:
+    """wildcard_regex of a text that is data."""
+    quoted = F.regexp_replace(s, r"(?s)~(.)|([^*?])", r"\\Q$1$2\\E")
+    return F.concat(F.lit("(?is)^"), F.regexp_replace(F.regexp_replace(quoted, r"(?<!\\Q)\*", ".*"), r"(?<!\\Q)\?", "."), F.lit("$"))
+
+
 def _quoted(c: str) -> str:
     return c if c.isalnum() or ord(c) > 127 else "\\" + c

@@ -39,8 +39,12 @@ class Context:
 
 def compile_formula(text: str, context: Context) -> Column:
     """The value of a formula as a Column; a blank result reads as 0."""
-    made = scalar(parse(text), context)
-    return v.let(made, _shown)
+    return compile_tree(parse(text), context)
+
+
+def compile_tree(tree, context: Context) -> Column:
+    """compile_formula of a formula's tree."""
+    return v.let(scalar(tree, context), _shown)
 
 
 def _shown(x: Column) -> Column:
@@ -517,15 +521,18 @@ def _days(args: list, x: Context) -> Column:
 # Lookups over the cells of a row's grid
 
 
-def _matches(value: Column, cell: Column) -> Column:
-    """Equality of one kind; texts without regard to case."""
-    return (value["k"] == cell["k"]) & F.coalesce(v.compare(value, cell, "=")["b"], F.lit(False))
+def _matches(value: Column, cell: Column, wild: bool) -> Column:
+    """Equality of one kind; texts without regard to case and, if wild, a value with * ? or ~ as a pattern."""
+    same = (value["k"] == cell["k"]) & F.coalesce(v.compare(value, cell, "=")["b"], F.lit(False))
+    if not wild or "text" not in v.kinds_of(value) & v.kinds_of(cell):
+        return same
+    return F.when(F.coalesce(value["s"].rlike("[*?~]"), F.lit(False)), F.coalesce(F.regexp_like(cell["s"], v.wildcard_pattern(value["s"])), F.lit(False))).otherwise(same)
 
 
-def _exact_place(value: Column, cells: list[Column]) -> Column:
+def _exact_place(value: Column, cells: list[Column], wild: bool = True) -> Column:
     out = v.when(F.lit(False), F.lit(0))
     for i, c in enumerate(cells, 1):
-        out = out.when(_matches(value, c), i)
+        out = out.when(_matches(value, c, wild), i)
     return out
 
 
@@ -618,10 +625,10 @@ def _xlookup(args: list, x: Context) -> Column:
         op = ">=" if larger else "<="
         kept = [v.when((c["k"] == value["k"]) & v.compare(c, value, op)["b"], F.struct(c["n"].alias("n"), v.sorting(c["s"]).alias("s"), c["b"].alias("b"), F.lit(i).alias("i"))) for i, c in enumerate(cells, 1)]
         found = F.filter(F.array(*kept), lambda e: e.isNotNull())
-        return F.coalesce(_exact_place(value, cells), (F.array_min(found) if larger else F.array_max(found))["i"])
+        return F.coalesce(_exact_place(value, cells, wild=False), (F.array_min(found) if larger else F.array_max(found))["i"])
 
     def made(value: Column, m: Column) -> Column:
-        place = v.when(m["n"] == -1, nearest(value, False)).when(m["n"] == 1, nearest(value, True)).otherwise(_exact_place(value, cells))
+        place = v.when(m["n"] == -1, nearest(value, False)).when(m["n"] == 1, nearest(value, True)).when(m["n"] == 2, _exact_place(value, cells)).otherwise(_exact_place(value, cells, wild=False))
         return v.let(place, lambda p: v.when(p.isNull(), fallback).otherwise(_pick(returns, p)))
 
     return v.first_error([scalar(args[0], x), v.to_number(mode)], made)
