@@ -8,7 +8,9 @@ and the number of tokens; the node where a pre-token ends has its count. Ties of
 tokens.
 
 Pieces come from a public vocabulary of ranked pieces; a piece of rank r has the score
-``-log(r + 2)``, the law that word frequencies follow nearly. A character that no piece covers costs
+``-log(r + 2)``, the law that word frequencies follow nearly: the file's own scores are ranks of merges, which as
+unigram scores would break most words into short pieces. With these scores the sentencepiece library, as a
+unigram model, segments alike. A character that no piece covers costs
 ``UNKNOWN`` per byte and counts as many tokens as UTF-8 bytes, as byte fallback has it.
 
 A worker remembers the trie up to ``most`` nodes (some 350 bytes each) and as many counts of words (some 110
