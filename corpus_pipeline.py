@@ -28,7 +28,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
 
-    No radius of 64-bit fingerprints finds all of them, so op2's are not used: the shingle sets are compared.
+    Candidates come from SimHash fingerprints, compared bit-sliced as in op2; what no radius of 64 bits finds, from the
+    shingle sets themselves. Every link is confirmed on whole sets.
     """
     return near_copies.keep_one(docs, words=5)
 
