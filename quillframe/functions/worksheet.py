@@ -56,7 +56,16 @@ def _shown(x: Column) -> Column:
     return v.when(x["k"] == "blank", v.number(0.0)).otherwise(x)
 
 
+@dataclass(frozen=True)
+class Bound:
+    """A node that already is a value."""
+
+    value: Column
+
+
 def scalar(node, x: Context) -> Column:
+    if isinstance(node, Bound):
+        return node.value
     if isinstance(node, Constant):
         if node.error:
             return v.err(node.error)
@@ -101,11 +110,42 @@ def grid(node, x: Context) -> Grid:
             return v.concatenate(p, q) if node.op == "&" else v.arithmetic(p, q, node.op) if node.op in "+-*/^" else v.compare(p, q, node.op)
 
         return [[one(at(a, r, c), at(b, r, c)) for c in range(columns)] for r in range(rows)]
+    if isinstance(node, Unary | Percent | Call) and _is_range(node):
+        return _lifted(node, x)
     return [[scalar(node, x)]]
 
 
+def _lifted(node, x: Context) -> Grid:
+    """A sign, percent or scalar function over ranges, cell by cell; a single row or column is repeated, what a range does not cover is #N/A."""
+    if isinstance(node, Call):
+        least, most, body = FUNCTIONS[node.name]
+        if not least <= len(node.args) <= most:
+            return [[v.err(v.VALUE)]]
+        parts, make = node.args, lambda nodes: Call(node.name, nodes)
+    else:
+        parts, make = (node.operand,), lambda nodes: Unary(node.op, *nodes) if isinstance(node, Unary) else Percent(*nodes)
+    grids = [grid(p, x) if _is_range(p) else None for p in parts]
+    rows, columns = (max(size(g) for g in grids if g) for size in (len, lambda g: len(g[0])))
+    made: Grid = []
+    for r in range(rows):
+        made.append([])
+        for c in range(columns):
+            at = [g and (0 if len(g) == 1 else r, 0 if len(g[0]) == 1 else c) for g in grids]
+            if any(g and (i[0] >= len(g) or i[1] >= len(g[0])) for g, i in zip(grids, at, strict=True)):
+                made[-1].append(v.err(v.NA))
+                continue
+            made[-1].append(scalar(make(tuple(Bound(g[i[0]][i[1]]) if g else p for g, i, p in zip(grids, at, parts, strict=True))), x))
+    return made
+
+
 def _is_range(node) -> bool:
-    return isinstance(node, Reference | ArrayConstant) or isinstance(node, Binary) and (_is_range(node.left) or _is_range(node.right))
+    if isinstance(node, Binary):
+        return _is_range(node.left) or _is_range(node.right)
+    if isinstance(node, Unary | Percent):
+        return _is_range(node.operand)
+    if isinstance(node, Call):
+        return node.name in LIFTED and any(map(_is_range, node.args))
+    return isinstance(node, Reference | ArrayConstant)
 
 
 def _flat(node, x: Context) -> list[Column]:
@@ -646,6 +686,11 @@ def _place(size: bool, row: bool):
     return call
 
 
+#: Functions of single values, which a range takes cell by cell.
+LIFTED = frozenset(
+    "ROUND ROUNDUP ROUNDDOWN TRUNC INT ABS SIGN SQRT EXP LN LOG10 LOG POWER MOD CEILING FLOOR IF IFERROR IFNA NOT ISBLANK ISNUMBER ISTEXT ISNONTEXT ISLOGICAL ISERROR ISERR ISNA "
+    "ISEVEN ISODD LEFT RIGHT MID LEN UPPER LOWER PROPER TRIM REPT EXACT SUBSTITUTE REPLACE FIND SEARCH VALUE TEXT CHAR CODE T DATE TIME YEAR MONTH DAY HOUR MINUTE SECOND WEEKDAY EDATE EOMONTH DAYS DATEDIF".split()
+)
 MANY = 255
 #: Name: fewest and most arguments, and the body.
 FUNCTIONS: dict[str, tuple[int, int, Callable[[list, Context], Column]]] = {

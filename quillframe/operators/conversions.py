@@ -49,6 +49,15 @@ def sheet_csv(cells: DataFrame, keys: list[str], delimiter: str = ",", neutralis
     return grid(cells, keys, most).select(*keys, "row", F.array_join(F.transform("line", field), delimiter).alias("record"))
 
 
+def record_cells(records: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, row, col, kind, num, text: the array ``fields`` of each record as cells. A field that is a plain finite number (digits with a point, a sign, an exponent) is one, any other a text; a null is empty text, a record without fields has no cell."""
+    field = F.coalesce("field", F.lit(""))
+    number = F.when(field.rlike("^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), field.try_cast("double"))
+    finite = F.when(F.abs(number) < F.lit(float("inf")), number)
+    rows = records.select(*keys, "row", F.posexplode("fields").alias("at", "field"))
+    return rows.select(*keys, "row", (F.col("at") + 1).alias("col"), F.when(finite.isNotNull(), "num").otherwise("text").alias("kind"), finite.alias("num"), F.when(finite.isNull(), field).alias("text"))
+
+
 def _escaped(c: Column) -> Column:
     for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(mark), F.lit(entity))

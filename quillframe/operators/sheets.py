@@ -160,5 +160,5 @@ def as_of_lookup(left: DataFrame, value: str, steps: DataFrame, key: str, result
 
 def in_list(left: DataFrame, value: str, table: DataFrame, key: str, anti: bool = False) -> DataFrame:
     """Rows of left whose value is (or is not) among the keys: ISNUMBER or ISNA of MATCH."""
-    keys = table.select(F.upper(key).alias("_key")).distinct()
-    return left.join(keys, F.upper(left[value].cast("string")) == keys["_key"], "left_anti" if anti else "left_semi")
+    keys = table.select(v.fold(F.col(key).cast("string")).alias("_key")).distinct()
+    return left.join(keys, v.fold(left[value].cast("string")) == keys["_key"], "left_anti" if anti else "left_semi")

@@ -166,7 +166,7 @@ def test_images():
 def test_queries_match_their_sql(spark):
     import duckdb
 
-    from quillframe.plans import catalog, ordered, scalars, worksheets  # noqa: F401
+    from quillframe.plans import catalog, formatting, ordered, scalars, worksheets  # noqa: F401
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
