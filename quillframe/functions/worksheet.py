@@ -158,8 +158,32 @@ def _items(args: list, x: Context) -> Column:
     return F.array(*made)
 
 
+#: Cells up to which an aggregate is written out as one plain expression rather than run over an array.
+FEW = 16
+
+
+def _plain(cells: list[Column]) -> bool:
+    return 0 < len(cells) <= FEW and all(isinstance(c, v.Value) and c.light() for c in cells)
+
+
+def _written_out(cells: list[Column], chosen: list[Column] | None, finish) -> Column:
+    """finish of the numbers of a few cells, of the chosen ones if given; the first error among them else."""
+    pick = lambda c, i, f: c[f] if chosen is None else F.when(chosen[i], c[f])
+    errors = [pick(c, i, "e") for i, c in enumerate(cells) if "err" in c.kinds]
+    numbers = [pick(c, i, "n") for i, c in enumerate(cells) if "num" in c.kinds]
+    made = PLAIN[finish](numbers or [F.lit(None).cast("double")])
+    if not errors:
+        return made
+    error = F.coalesce(*errors)
+    return v.when(error.isNotNull(), v.Value({"err"}, e=error)).otherwise(made)
+
+
 def _numbers(args: list, x: Context, body: Callable[[Column], Column]) -> Column:
     """body of the array of numbers: of ranges only numbers count, direct arguments are coerced; the first error else."""
+    if body in PLAIN:
+        cells = [c for a in args for c in (_flat(a, x) if _is_range(a) else [v.to_number(scalar(a, x))])]
+        if _plain(cells):
+            return _written_out(cells, None, body)
     coerced = F.transform(_items(args, x), lambda i: v.when(i["d"], v.to_number(i["v"])).otherwise(i["v"]))
 
     def made(found: Column) -> Column:
@@ -178,6 +202,53 @@ def _average(a: Column) -> Column:
     return v.when(F.size(a) == 0, v.err(v.DIV0)).otherwise(v.number(F.try_divide(_total(a), F.size(a))))
 
 
+def _sum(a: Column) -> Column:
+    return v.number(_total(a))
+
+
+def _product(a: Column) -> Column:
+    return v.number(F.aggregate(a, F.lit(1.0), lambda p, q: p * q))
+
+
+def _least(a: Column) -> Column:
+    return v.number(F.coalesce(F.array_min(a), F.lit(0.0)))
+
+
+def _greatest(a: Column) -> Column:
+    return v.number(F.coalesce(F.array_max(a), F.lit(0.0)))
+
+
+def _added(numbers: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for n in numbers:
+        out = out + F.coalesce(n, F.lit(0.0))
+    return out
+
+
+def _mean(numbers: list[Column]) -> Column:
+    count = F.lit(0)
+    for n in numbers:
+        count = count + n.isNotNull().cast("int")
+    return v.when(count == 0, v.err(v.DIV0)).otherwise(v.number(F.try_divide(_added(numbers), count)))
+
+
+def _multiplied(numbers: list[Column]) -> Column:
+    out = F.lit(1.0)
+    for n in numbers:
+        out = out * F.coalesce(n, F.lit(1.0))
+    return v.number(out)
+
+
+#: What an aggregate of an array is over a few numbers, any of which may be null.
+PLAIN: dict[Callable, Callable[[list[Column]], Column]] = {
+    _sum: lambda n: v.number(_added(n)),
+    _average: _mean,
+    _product: _multiplied,
+    _least: lambda n: v.number(F.coalesce(F.least(*n) if len(n) > 1 else n[0], F.lit(0.0))),
+    _greatest: lambda n: v.number(F.coalesce(F.greatest(*n) if len(n) > 1 else n[0], F.lit(0.0))),
+}
+
+
 def _logical(fold: Callable[[Column], Column]):
     def body(args: list, x: Context) -> Column:
         coerced = F.transform(_items(args, x), lambda i: v.when(i["d"], v.to_bool(i["v"])).when(i["v"]["k"] == "num", v.to_bool(i["v"])).otherwise(i["v"]))
@@ -204,6 +275,8 @@ def _conditional(args: list, x: Context, values, pairs: list, finish: Callable[[
     if any(len(r) != len(columns) for r in ranges):
         return v.err(v.VALUE)
     tests = [criterion_of(scalar(c, x) if not isinstance(c, Constant) else c) for _, c in pairs]
+    if tests and finish in PLAIN and _plain(columns) and all(map(_plain, ranges)):
+        return _written_out(columns, [_all([t(r[i]) for t, r in zip(tests, ranges, strict=True)]) for i in range(len(columns))], finish)
     rows = F.array(*[F.struct(columns[i].alias("v"), F.lit(True).alias("d") if not tests else _all([t(r[i]) for t, r in zip(tests, ranges, strict=True)]).alias("d")) for i in range(len(columns))])
     chosen = F.transform(F.filter(rows, lambda i: i["d"]), lambda i: i["v"])
 
@@ -235,6 +308,8 @@ def _countifs(args: list, x: Context) -> Column:
         return v.err(v.VALUE)
     tests = [criterion_of(scalar(c, x) if not isinstance(c, Constant) else c) for _, c in pairs]
     hits = [_all([t(r[i]) for t, r in zip(tests, ranges, strict=True)]).cast("int") for i in range(len(ranges[0]))]
+    if all(map(_plain, ranges)):
+        return v.number(sum(hits[1:], hits[0]).cast("double"))
     return v.number(F.aggregate(F.array(*hits), F.lit(0), lambda a, b: a + b))
 
 
@@ -579,6 +654,8 @@ def _exact_place(value: Column, cells: list[Column], wild: bool = True) -> Colum
 def _scan_place(value: Column, cells: list[Column], ascending: bool = True) -> Column:
     """The last cell of the value's kind not past it, before the first past one; equality ends the scan."""
     past = ">" if ascending else "<"
+    if isinstance(value, v.Value) and all(isinstance(c, v.Value) and len(c.kinds) == 1 for c in cells):
+        return _scan_written_out(value, cells, past)
     state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"))
     numbered = F.array(*[F.struct(F.lit(i).alias("i"), c.alias("c")) for i, c in enumerate(cells, 1)])
 
@@ -592,6 +669,21 @@ def _scan_place(value: Column, cells: list[Column], ascending: bool = True) -> C
     return F.nullif(F.aggregate(numbered, state, step)["at"], F.lit(0))
 
 
+def _scan_written_out(value: v.Value, cells: list[v.Value], past: str) -> Column:
+    """The same scan where the kind of each cell is known."""
+    none, out = F.lit(None).cast("int"), F.when(F.lit(False), F.lit(0))
+    for field, (kind, _) in v.FIELDS.items():
+        found = [(i, c) for i, c in enumerate(cells, 1) if c.kinds == {kind}]
+        if kind == "err" or kind not in value.kinds or not found:
+            continue
+        one, last, chain = v.Value({kind}, **{field: value[field]}), none, F.when(F.lit(False), none)
+        for i, c in found:
+            chain = chain.when(v.compare(c, one, past)["b"], last).when(v.compare(c, one, "=")["b"], F.lit(i))
+            last = F.lit(i)
+        out = out.when(value.is_(kind), chain.otherwise(last))
+    return out
+
+
 def _pick(cells: list[Column], place: Column) -> Column:
     found = F.get(F.array(*cells), (place - 1).cast("int"))
     return v.when(place.isNull(), v.err(v.NA)).when(found["k"] == "blank", v.number(0.0)).otherwise(found)
@@ -694,18 +786,18 @@ LIFTED = frozenset(
 MANY = 255
 #: Name: fewest and most arguments, and the body.
 FUNCTIONS: dict[str, tuple[int, int, Callable[[list, Context], Column]]] = {
-    "SUM": (1, MANY, lambda a, x: _numbers(a, x, lambda n: v.number(_total(n)))),
-    "PRODUCT": (1, MANY, lambda a, x: _numbers(a, x, lambda n: v.number(F.aggregate(n, F.lit(1.0), lambda p, q: p * q)))),
+    "SUM": (1, MANY, lambda a, x: _numbers(a, x, _sum)),
+    "PRODUCT": (1, MANY, lambda a, x: _numbers(a, x, _product)),
     "AVERAGE": (1, MANY, lambda a, x: _numbers(a, x, _average)),
-    "MIN": (1, MANY, lambda a, x: _numbers(a, x, lambda n: v.number(F.coalesce(F.array_min(n), F.lit(0.0))))),
-    "MAX": (1, MANY, lambda a, x: _numbers(a, x, lambda n: v.number(F.coalesce(F.array_max(n), F.lit(0.0))))),
+    "MIN": (1, MANY, lambda a, x: _numbers(a, x, _least)),
+    "MAX": (1, MANY, lambda a, x: _numbers(a, x, _greatest)),
     "COUNT": (1, MANY, _count(lambda i: v.when(i["d"], v.to_number(i["v"])["k"] == "num").otherwise(i["v"]["k"] == "num"))),
     "COUNTA": (1, MANY, _count(lambda i: i["d"] | (i["v"]["k"] != "blank"))),
     "COUNTBLANK": (1, 1, _count(lambda i: (i["v"]["k"] == "blank") | F.coalesce(i["v"]["s"] == "", F.lit(False)))),
     "COUNTIF": (2, 2, _countifs),
     "COUNTIFS": (2, MANY, _countifs),
-    "SUMIF": (2, 3, _if(lambda n: v.number(_total(n)))),
-    "SUMIFS": (3, MANY, _ifs(lambda n: v.number(_total(n)))),
+    "SUMIF": (2, 3, _if(_sum)),
+    "SUMIFS": (3, MANY, _ifs(_sum)),
     "AVERAGEIF": (2, 3, _if(_average)),
     "AVERAGEIFS": (3, MANY, _ifs(_average)),
     "SUMPRODUCT": (1, MANY, _sumproduct),

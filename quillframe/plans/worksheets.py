@@ -115,7 +115,7 @@ def range_lookups(spark, sf_dir):
 WITH o AS (SELECT o_orderkey // 1000000 AS book, o_totalprice AS p, o_orderstatus AS s, CASE WHEN o_custkey % 4 <> 0 THEN o_custkey END AS c, o_orderkey % 1000000 + 1 AS r FROM orders)
 SELECT book, round(sum(p), 2) AS total, round(max(p) - min(p), 2) AS spread, round(avg(p), 6) AS mean, CAST(1048576 - count(c) AS DOUBLE) AS blanks, CAST(count(p) + count(s) + count(c) AS DOUBLE) AS filled,
        CAST(count(*) FILTER (p > 100000 AND s = 'F') AS DOUBLE) AS large, round(coalesce(sum(p) FILTER (s = 'F'), 0), 2) AS filled_total, CAST(1048576 - count(*) FILTER (s = 'F') AS DOUBLE) AS not_f,
-       CASE WHEN count(c) = 0 THEN -1 ELSE round(avg(p) FILTER (c > 50), 6) END AS mean_met, round(coalesce(sum(p * c) FILTER (c IS NOT NULL), 0), 1) AS products, round(sum(p) * 1.25, 2) AS rated, coalesce(sum(p) FILTER (r <= 500), 0) > 0 AS any_first
+       CASE WHEN count(c) = 0 THEN -1 ELSE round(avg(p) FILTER (c > 50), 6) END AS mean_met, round(coalesce(sum(p * c) FILTER (c IS NOT NULL), 0), -3) AS products, round(sum(p) * 1.25, 2) AS rated, coalesce(sum(p) FILTER (r <= 500), 0) > 0 AS any_first
 FROM o GROUP BY book
 """)
 def whole_columns(spark, sf_dir):
@@ -130,7 +130,7 @@ def whole_columns(spark, sf_dir):
     every = cells_.unionByName(rates).withColumn("bool", F.lit(None).cast("boolean")).withColumn("err", none)
     made = {
         "total": "=ROUND(SUM(A:A),2)", "spread": "=ROUND(MAX(A:A)-MIN(A:A),2)", "mean": "=ROUND(AVERAGE(A:A),6)", "blanks": "=COUNTBLANK(C1:C1048576)", "filled": "=COUNTA(A:C)", "large": '=COUNTIFS(A:A,">100000",B:B,"f")',
-        "filled_total": '=ROUND(SUMIF(B:B,"F",A:A),2)', "not_f": '=COUNTIF(B:B,"<>F")', "mean_met": '=IF(COUNT(C:C)=0,-1,ROUND(AVERAGEIFS(A:A,C:C,">50"),6))', "products": "=ROUND(SUMPRODUCT(A:A,C:C),1)", "rated": "=ROUND(SUM(A:A)*Rates!A2,2)",
+        "filled_total": '=ROUND(SUMIF(B:B,"F",A:A),2)', "not_f": '=COUNTIF(B:B,"<>F")', "mean_met": '=IF(COUNT(C:C)=0,-1,ROUND(AVERAGEIFS(A:A,C:C,">50"),6))', "products": "=ROUND(SUMPRODUCT(A:A,C:C),-3)", "rated": "=ROUND(SUM(A:A)*Rates!A2,2)",
     }
     found = ranges.evaluate(every, ["book"], made | {"any_first": "=SUM(A1:A500)>0"}, "Orders")
     return found.select("book", *[F.col(f"{n}.n").alias(n) for n in made], F.col("any_first.b").alias("any_first"))
