@@ -15,23 +15,32 @@ from ..functions.tolerant import csv_field, neutralised
 from ..functions.values import let
 
 MAX_CELLS = 100_000_000
+#: Rows of a used range that are laid out from one row.
+ROWS_AT_ONCE = 1 << 16
 
 
-def grid(cells: DataFrame, keys: list[str], most: int = MAX_CELLS) -> DataFrame:
+def grid(cells: DataFrame, keys: list[str], most: int | None = MAX_CELLS) -> DataFrame:
     """cells (keys, row, col, shown, kind) with every cell of each used range, empty ones included: keys, row and ``line``, the array of (col, shown, kind) in order.
 
-    A used range of more than ``most`` cells raises before it is laid out. Rows are made of the cells they
-    have, so only the keys and rows are exchanged, never empty cells.
+    A used range of more than ``most`` cells (None: any) raises before it is laid out. Rows are made of the cells they
+    have, so only the keys and rows are exchanged, never empty cells. Null keys are a sheet of their own; a
+    cell without a row or column lies in no line, though what it has of the two counts for the range.
     """
-    used = cells.groupBy(*keys).agg(F.min("row").alias("_r1"), F.max("row").alias("_r2"), F.min("col").alias("_c1"), F.max("col").alias("_c2"))
-    size = (F.col("_r2") - F.col("_r1") + 1).cast("long") * (F.col("_c2") - F.col("_c1") + 1)
-    used = used.withColumn("_c2", F.when(size > most, F.raise_error(F.concat(F.lit("a used range of more cells than allowed: "), size.cast("string"))).cast("int")).otherwise(F.col("_c2")))
-    rows = used.select(*keys, "_c1", "_c2", F.explode(F.sequence("_r1", "_r2")).alias("row"))
-    had = cells.groupBy(*keys, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.struct(F.coalesce("shown", F.lit("")).alias("shown"), "kind")))).alias("_had"))
-    joined = rows.join(had, [*keys, "row"], "left")
+    used = cells.groupBy(*keys).agg(F.min("row").cast("long").alias("_r1"), F.max("row").cast("long").alias("_r2"), F.min("col").alias("_c1"), F.max("col").alias("_c2")).where(F.col("_c1").isNotNull())
+    if most is not None:
+        size = (F.col("_r2") - F.col("_r1") + 1) * (F.col("_c2") - F.col("_c1") + 1)
+        used = used.withColumn("_c2", F.when(size > most, F.raise_error(F.concat(F.lit("a used range of more cells than allowed: "), size.cast("string"))).cast("int")).otherwise(F.col("_c2")))
+    # Spans are dealt out before they become rows: a large sheet is not laid out by one task. A given number of partitions is kept.
+    spans = used.select(*keys, "_c1", "_c2", "_r2", F.explode(F.sequence("_r1", "_r2", F.lit(ROWS_AT_ONCE).cast("long"))).alias("_at"))
+    spans = spans.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_at")
+    last = F.col("_at") + F.least(F.col("_r2") - F.col("_at"), F.lit(ROWS_AT_ONCE - 1))
+    row_type = dict(cells.dtypes)["row"]
+    rows = spans.select(*keys, F.explode(F.sequence("_at", last).cast(f"array<{row_type}>")).alias("row"), "_c1", "_c2", F.lit(None).alias("_cell"))
+    had = cells.where(F.col("row").isNotNull() & F.col("col").isNotNull()).select(*keys, "row", F.lit(None).alias("_c1"), F.lit(None).alias("_c2"), F.struct("col", F.struct(F.coalesce("shown", F.lit("")).alias("shown"), "kind")).alias("_cell"))
+    lines = rows.union(had).groupBy(*keys, "row").agg(F.max("_c1").alias("_c1"), F.max("_c2").alias("_c2"), F.map_from_entries(F.collect_list("_cell")).alias("_had"))
     empty = F.struct(F.lit("").alias("shown"), F.lit("blank").alias("kind"))
     line = F.transform(F.sequence("_c1", "_c2"), lambda c: let(F.coalesce(F.try_element_at("_had", c), empty), lambda x: F.struct(c.alias("col"), x["shown"].alias("shown"), x["kind"].alias("kind"))))
-    return joined.select(*keys, "row", line.alias("line"))
+    return lines.select(*keys, "row", line.alias("line"))
 
 
 def _whole(rows: DataFrame, keys: list[str], position: str, text: Column, joiner: str, out: str) -> DataFrame:
@@ -39,12 +48,12 @@ def _whole(rows: DataFrame, keys: list[str], position: str, text: Column, joiner
     return rows.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["t"]), joiner).alias(out))
 
 
-def sheet_csv(cells: DataFrame, keys: list[str], delimiter: str = ",", neutralise: bool = True, most: int = MAX_CELLS) -> DataFrame:
-    """keys, row and ``record``: a sheet's used range as CSV records, cells as shown. Texts that would run as formulas are neutralised, numbers never."""
+def sheet_csv(cells: DataFrame, keys: list[str], delimiter: str = ",", neutralise: bool = True, most: int | None = MAX_CELLS, quoting: str = "needed") -> DataFrame:
+    """keys, row and ``record``: a sheet's used range as CSV records, cells as shown. Texts that would run as formulas are neutralised, numbers never; fields are quoted as in ``csv_field``."""
 
     def field(x: Column) -> Column:
         shown = F.when(x["kind"] == "text", neutralised(x["shown"])).otherwise(x["shown"]) if neutralise else x["shown"]
-        return csv_field(shown, delimiter)
+        return csv_field(shown, delimiter, quoting)
 
     return grid(cells, keys, most).select(*keys, "row", F.array_join(F.transform("line", field), delimiter).alias("record"))
 

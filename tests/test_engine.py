@@ -180,6 +180,25 @@ def test_queries_match_their_sql(spark):
         assert mine == theirs, name
 
 
+def test_sheet_records_take_the_first_line_in_the_file(spark, tmp_path):
+    import duckdb
+
+    from quillframe.plans import catalog, ordered
+
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    con = duckdb.connect()
+    con.sql("set threads = 1")
+    top = 1 << 33
+    # The later file is the larger one, which Spark reads first; its row groups hold the same places again.
+    con.sql(f"copy (select * from (values ('A', {top}, 1, 'F'), ('A', {top}, 2, null), ('A', {top + 3}, 3, '=1,'), (null, {top}, 1, 'F'), ('A', null, 4, 'F'), ('A', {top + 5}, null, 'F'), ('N', 5, null, 'F')) t(l_returnflag, l_orderkey, l_linenumber, l_linestatus)) to '{folder}/a.parquet'")
+    con.sql(f"copy (select 'A' as l_returnflag, {top} + i % 5 as l_orderkey, (i % 2 + 1)::int as l_linenumber, chr((65 + i // 10 % 26)::int) as l_linestatus from range(20000) t(i)) to '{folder}/b.parquet' (row_group_size 2048)")
+    con.sql(f"create view lineitem as from read_parquet('{folder}/*.parquet')")
+    theirs = sorted(con.sql(catalog.SQL["sheet_records"]).fetchall())
+    mine = ordered.sheet_records(spark, str(tmp_path)).select("l_returnflag", "row_at", "record")
+    assert sorted(tuple(r) for r in mine.collect()) == theirs and theirs[0] == ("A", top, "F,A,,")
+
+
 def test_titles_of_all_pages(spark, tmp_path):
     from html.parser import HTMLParser
 

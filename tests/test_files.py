@@ -148,3 +148,11 @@ def test_gaps(spark):
     found = conversions.gap_messages(gaps, templates, "fr")
     assert [(r.n, r.message) for r in conversions.gap_union(found, "doc", "n").orderBy("n").collect()] == [(1, "y et {1}"), (3, None)]
     assert {r.message for r in conversions.gap_messages(gaps, templates, "de").collect()} == {"{1} and y", None}
+
+
+def test_sheets_of_odd_cells(spark, monkeypatch):
+    monkeypatch.setattr(conversions, "ROWS_AT_ONCE", 2)
+    cells = spark.createDataFrame([(None, 2**40, 2, "=a", "text"), (None, 2**40 + 6, None, "x", "text"), (None, None, 3, "x", "text"), ("s", 5, 1, "b,", "text"), ("none", 1, None, "x", "text")], "sheet string, row long, col int, shown string, kind string")
+    found = [(r.sheet, r.row, r.record) for r in conversions.sheet_csv(cells, ["sheet"], most=None).orderBy("sheet", "row").collect()]
+    assert found == [(None, 2**40, "'=a,"), *[(None, 2**40 + k, ",") for k in range(1, 7)], ("s", 5, '"b,"')]
+    assert conversions.sheet_csv(cells, ["sheet"], neutralise=False, quoting="never").where("sheet = 's' or row = 1L << 40").orderBy("row").collect() == [("s", 5, "b,"), (None, 2**40, "=a,")]
